@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application, for sessions whose workers can't import it."""
+    context = spark.sparkContext
+    if not getattr(context, "_lamina_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        with tempfile.TemporaryDirectory() as folder:
+            source = Path(folder, "source")
+            shutil.copytree(root / "lamina", source / "lamina", ignore=shutil.ignore_patterns("__pycache__"))
+            context.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="lamina-py-"), "lamina_package")), "zip", source))
+        context._lamina_shipped = True
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str, *, null_text: str | None = "") -> DataFrame:
     """Only the id and the text, under the names ``doc_id`` and ``text``; whatever else the input has is left out.
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import bpe, license_scan, quality_rules, token_counts, warc
-from lamina.llm.common import table
+from lamina.llm.common import ship, table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +32,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op6_byte_bpe, op7_token_counts, op8_warc, op10_license_scan)}
+    return {f.__name__: _shipped(f) for f in (op2_quality_rules, op6_byte_bpe, op7_token_counts, op8_warc, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -190,7 +190,7 @@ def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 0
             for page_id, url, payload, revisit, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "revisit", "refers_to")), strict=True):
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
-                    bundle, writer = f"{path}/{name}", BundleWriter(out_fs.open_output_stream(f"{folder}/{name}"))
+                    bundle, writer = f"{path}/{name}", BundleWriter(out_fs.open_output_stream(f"{folder}/{name}", compression=None))
                 page = page_id.as_py()
                 rid, record = build_record(page, url.as_py(), payload.as_py(), refers_to.as_py(), revisit.as_py())
                 frame, offset = writer.add(record)
