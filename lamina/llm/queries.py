@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, license_scan, quality_rules, token_counts, warc
+from lamina.llm import bpe, html_extract, license_scan, quality_classifier, quality_rules, token_counts, warc
 from lamina.llm.common import ship, table
 
 
@@ -16,6 +16,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op2_quality_rules, op6_byte_bpe, op7_token_counts, op8_warc, op10_license_scan)}
+    return {f.__name__: _shipped(f) for f in (op2_quality_rules, op3_html_extract, op4_quality_classifier, op6_byte_bpe, op7_token_counts, op8_warc, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
