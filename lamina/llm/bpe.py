@@ -4,7 +4,7 @@
 once per worker through a bounded memo, and returns the ids with each token's byte offset; ``decode`` puts the
 bytes back by those offsets. Ids and offsets are packed as little-endian unsigned 32-bit integers.
 
-Both map over partitions: no shuffle, and a worker holds one slice of about a million characters, a bounded
+Both map over partitions: no shuffle, and a worker holds one slice of about half a million characters, a bounded
 memo and the vocabulary.
 
 Defined cases. A null text counts as empty; an empty text has no ids and decodes to no bytes. A text longer

@@ -137,7 +137,7 @@ def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [joined[a:b] for a, b in zip(at[real].tolist(), upto[real].tolist(), strict=True)], counts
 
 
-def chunks(texts: list[str], most: int = 1 << 20):
+def chunks(texts: list[str], most: int = 1 << 19):
     """Slices of ``texts`` of about ``most`` characters each (a longer text is a slice of its own), as (first, behind last)."""
     first = size = 0
     for i, t in enumerate(texts):
@@ -152,7 +152,7 @@ def chunks(texts: list[str], most: int = 1 << 20):
 class TwoGenerations:
     """A bounded memo: when the young half is full it becomes the old one, and what is asked again moves back."""
 
-    def __init__(self, most: int = 250_000, longest: int = 64):
+    def __init__(self, most: int = 150_000, longest: int = 64):
         self.young, self.old, self.most, self.longest = {}, {}, most, longest
 
     def put(self, key: str, value) -> None:

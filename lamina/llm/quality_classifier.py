@@ -50,7 +50,7 @@ class Buckets:
     """Texts to bucket numbers; every word gives the bucket of each of its pieces and one for its shape."""
 
     def __init__(self):
-        self.memo = TwoGenerations(300_000)
+        self.memo = TwoGenerations(200_000)
 
     def _miss(self, word: str) -> bytes:
         found = self.memo.old.get(word)

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, html_extract, license_scan, quality_classifier, quality_rules, token_counts, warc
+from lamina.llm import bpe, html_extract, license_scan, near_dedup, quality_classifier, quality_rules, token_counts, warc
 from lamina.llm.common import ship, table
 
 
@@ -24,6 +24,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op2_quality_rules, op3_html_extract, op4_quality_classifier, op6_byte_bpe, op7_token_counts, op8_warc, op10_license_scan)}
+    return {f.__name__: _shipped(f) for f in (op2_quality_rules, op3_html_extract, op4_quality_classifier, op5_minhash_near_dedup, op6_byte_bpe, op7_token_counts, op8_warc, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ pre-token's pair of lowest rank is applied at all its places, for all pre-tokens
 left leave the array with their count. Merging all places of one pair together equals the one by one order
 because no merge makes a pair of lower rank than the one that made its parts.
 
-A map over partitions: no shuffle; a worker holds a slice of about a million characters and a bounded memo.
+A map over partitions: no shuffle; a worker holds a slice of about half a million characters and a bounded memo.
 
 Defined cases. A null text counts as empty and has 0 bytes and 0 tokens. The file's special strings inside a
 text count one token each and cut the text around them. Repeated rows are counted one by one; an empty table
