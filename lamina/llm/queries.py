@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, html_extract, license_scan, near_dedup, quality_classifier, quality_rules, token_counts, warc
+from lamina.llm import bpe, html_extract, license_scan, near_dedup, pii, quality_classifier, quality_rules, token_counts, warc
 from lamina.llm.common import ship, table
 
 
@@ -40,6 +40,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op2_quality_rules, op3_html_extract, op4_quality_classifier, op5_minhash_near_dedup, op6_byte_bpe, op7_token_counts, op8_warc, op10_license_scan)}
+    return {f.__name__: _shipped(f) for f in (op2_quality_rules, op3_html_extract, op4_quality_classifier, op5_minhash_near_dedup, op6_byte_bpe, op7_token_counts, op8_warc, op9_pii, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
