@@ -7,10 +7,14 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, html_extract, license_scan, near_dedup, pii, quality_classifier, quality_rules, token_counts, warc
+from lamina.llm import bpe, decontaminate, html_extract, license_scan, near_dedup, pii, quality_classifier, quality_rules, token_counts, warc
 from lamina.llm.common import ship, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -58,7 +62,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op2_quality_rules, op3_html_extract, op4_quality_classifier, op5_minhash_near_dedup, op6_byte_bpe, op7_token_counts, op8_warc, op9_pii, op10_license_scan)}
+    return {f.__name__: _shipped(f) for f in (op1_decontaminate, op2_quality_rules, op3_html_extract, op4_quality_classifier, op5_minhash_near_dedup, op6_byte_bpe, op7_token_counts, op8_warc, op9_pii, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
