@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from lamina.operators.changelog import DELETE
 
-_NEWEST_FIRST = Window.partitionBy("k").orderBy(F.col("seq").desc())
-_OLDEST_FIRST = Window.partitionBy("k").orderBy("seq")
-
-
 def as_of(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """``k, seq, v`` of the newest version of each key that the snapshot sees, without deleted keys."""
     seen = log if snapshot is None else log.filter(F.col("seq") <= snapshot)
@@ -48,12 +44,12 @@ def seek_last(log: DataFrame, snapshot: int | None = None) -> DataFrame:
 
 def version_chain(log: DataFrame) -> DataFrame:
     """Every version with the sequence number of the next newer one of its key."""
-    return log.select("k", "seq", F.lag("seq").over(_NEWEST_FIRST).alias("newer_seq"))
+    return log.select("k", "seq", F.lag("seq").over(Window.partitionBy("k").orderBy(F.col("seq").desc())).alias("newer_seq"))
 
 
 def intervals(log: DataFrame) -> DataFrame:
     """Every version with the half-open interval of snapshots that see it."""
-    return log.select("k", F.col("seq").alias("begin_seq"), F.lead("seq").over(_OLDEST_FIRST).alias("end_seq"), F.col("op").cast("int").alias("op"))
+    return log.select("k", F.col("seq").alias("begin_seq"), F.lead("seq").over(Window.partitionBy("k").orderBy("seq")).alias("end_seq"), F.col("op").cast("int").alias("op"))
 
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
