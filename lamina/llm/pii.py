@@ -40,11 +40,14 @@ KINDS = (
     ("card", r"[0-9](?:[ -]?[0-9])++", lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}")),
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+"))),
 )
-_NAMES = F.array(*(F.lit(k) for k, _, _ in KINDS), F.lit("term"))
 _WORD = r"[\p{L}\p{M}]{4,}+"
 _SPANS = "array<struct<s:int,e:int>>"
 
 
+def _name(number: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(k) for k, _, _ in KINDS), F.lit("term")), number + 1)
+
+
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
 
@@ -103,7 +106,7 @@ def _contexts(text: Column, spans: Column) -> Column:
     """Array of ``(entity, term, s, e)``: the words around each span that lie in no span."""
 
     def around(span: Column) -> Column:
-        entity = F.concat(F.element_at(_NAMES, span["k"] + 1), F.lit(":"), F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"])))
+        entity = F.concat(_name(span["k"]), F.lit(":"), F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"])))
         from_ = F.greatest(span["s"] - CONTEXT, F.lit(0))
         left, right = F.substring(text, from_ + 1, span["s"] - from_), F.substring(text, span["e"] + 1, F.lit(CONTEXT))
         whole = lambda window, at, first, last: F.filter(
@@ -159,7 +162,7 @@ def all_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _named(spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.concat_ws(":", F.element_at(_NAMES, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string")))
+    return F.transform(spans, lambda x: F.concat_ws(":", _name(x["k"]), x["s"].cast("string"), x["e"].cast("string")))
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +177,7 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with every span of its text replaced: base spans by ``[EMAIL]`` and the like, terms by ``[TERM]`` or nothing."""
     found = all_spans(df, id_col, text_col).filter("size(spans) > 0")
-    base = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(F.element_at(_NAMES, x["k"] + 1)), F.lit("]")).alias("by")))
+    base = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(_name(x["k"])), F.lit("]")).alias("by")))
     terms = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["share"] >= REMOVAL, "").otherwise("[TERM]").alias("by")))
     cuts = materialise(found.groupBy("doc_id", "key").agg(F.first(F.array_sort(F.concat(base, terms))).alias("pii_cuts")), "pii-cuts")
     cuts = cuts.withColumnRenamed("doc_id", "pii_id").withColumnRenamed("key", "pii_key")
