@@ -3,19 +3,21 @@
 1. One pass over the texts gives each document the size and a 128-bit hash of its shingle set, ``BANDS`` band keys of
    its MinHash samples, and its odd sketch: a parity bitmap into which every sample is folded. Documents of equal
    sets are one class from here on, with the smallest id as node.
-2. Nodes that share a band key form a bucket. Each bucket compares its members with a few hubs (its smallest
-   nodes), never all with all. The XOR population count of two odd sketches estimates how many samples differ and screens
-   the pair; what passes is confirmed on the full sets of the texts.
-3. Links become components. A bucket whose other members now lie in one component is done; of the rest the hubs leave
-   and the next ones step in, until every pair of a bucket was compared or lies in one component. So no link
-   between nodes of a bucket is lost, and copies by the thousand cost as many pairs as there are copies.
+2. Nodes that share a band key form a bucket. Each bucket compares its members with its hub (the smallest node) only. The
+   XOR population count of two odd sketches estimates how many samples differ and screens the pair; what passes
+   is confirmed on the full sets.
+3. Links become components. A bucket whose other members now lie in one component is done: copies by the thousand cost
+   as many pairs as there are copies. What is left of the other buckets is compared on the full sets, in blocks
+   of at most about ``BLOCK`` nodes by one sparse product of incidence matrices, and only a forest of the
+   links between components leaves a block. So no link between nodes of a bucket is lost.
 
 Two sets of similarity 0.85 share no bucket with probability (1 - 0.85^5)^28 < 1e-7, and the screen lets pass
 what is five standard deviations below.
 
-Scale: bands are narrow rows (16 bytes); texts move only for confirmation, only of nodes in screened pairs (found by a
-broadcast if they are at most ``BROADCAST_NODES``, counted, else by a shuffle), and a hub of very many pairs is
-spread over salts. Everything that a later step needs again is a table in the shared folder.
+Scale: bands are narrow rows (16 bytes); sets move only for confirmation, only of nodes in screened pairs or open buckets (found
+by a broadcast if they are at most ``BROADCAST_NODES``, counted, else by a shuffle); a hub of very many pairs is
+spread over salts, an open bucket of any size over blocks. Everything that a later step needs again is a table in the
+shared folder.
 
 Defined cases. A null text has no words. Documents without words have no shingles, are linked with nothing and kept.
 Rows that repeat a doc_id count as one document, linked by any of its texts. A null id is no node: its row gets
@@ -30,7 +32,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import id_text, materialise
@@ -38,7 +40,7 @@ from lamina.llm.components import components
 
 BANDS, ROWS, SKETCH_WORDS = 28, 5, 8
 SHINGLE, PERCENT = 3, 85
-HUBS, BROADCAST_NODES, PAIRS_PER_SALT = 8, 500_000, 2_000
+BLOCK, BROADCAST_NODES, PAIRS_PER_SALT = 512, 250_000, 2_000
 _SAMPLES, _BITS = BANDS * ROWS, 64 * SKETCH_WORDS
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ONE = np.uint64(1)
@@ -170,46 +172,121 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {kind}, text_key bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch array<bigint>")
 
 
-def _confirm(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    last, own = None, None
-    for batch in batches:
-        a_out, b_out = [], []
-        hub_texts, texts = batch.column("hub_text"), batch.column("text")
-        for k, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-            if a != last:
-                last, own = a, shingles(hub_texts[k].as_py(), size)
-            other = shingles(texts[k].as_py(), size)
-            common = len(np.intersect1d(own, other, assume_unique=True))
-            if 100 * common >= percent * (len(own) + len(other) - common):
-                a_out.append(a)
-                b_out.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-
-
-def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, done: DataFrame | None, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a, b`` (a: hub) that the sketches let pass and the full sets confirm; and all that the sketches let pass."""
+def _linked(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    return 100 * common >= percent * (a + b - common)
+
+
+def _set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Written table ``node, own``: the packed shingle set of each wanted node (of each of its texts, if its id repeats)."""
+    known = materialise(nodes.select("node", "text_key").join(wanted, "node", "left_semi").withColumnRenamed("node", "doc_id"), "near-wanted")
+    if known.count() <= BROADCAST_NODES:
+        known = F.broadcast(known)
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(known, ["doc_id", "text_key"], "left_semi")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [shingles(t.as_py(), size).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(packed, pa.binary())], ["node", "text_key", "own"])
+
+    sets = texts.select("doc_id", "text_key", "text").mapInArrow(run, "node bigint, text_key bigint, own binary")
+    return materialise(sets.dropDuplicates(["node", "text_key"]).select("node", "own"), "near-sets")
+
+
+def hub_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` (a: hub) that the sketches let pass and the full sets confirm."""
     sketch = lambda side: nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"{side}_sketch"))
     apart = sum(F.bit_count(F.get("a_sketch", F.lit(k)).bitwiseXOR(F.get("b_sketch", F.lit(k)))) for k in range(SKETCH_WORDS))
     screened = pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(apart <= _most_apart(percent)).select("a", "b")
-    if done is not None:
-        screened = screened.join(done, ["a", "b"], "left_anti")
     screened = materialise(screened, "near-screened")
-    wanted = screened.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(nodes.select("node", "text_key").join(wanted, "node", "left_semi").withColumnRenamed("node", "doc_id"), "near-wanted")
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    texts = materialise(docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"], "left_semi"), "near-texts")
-    return _confirmed(screened, texts, size, percent), screened
-
-
-def _confirmed(screened: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    sets = full_sets(docs, nodes, screened.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size)
     salts = screened.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / PAIRS_PER_SALT).cast("int").alias("salts"))
     salted = screened.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    members = salted.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
-    hubs = salts.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("hub_text")), "a")
-    hubs = hubs.select("a", "hub_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = members.join(hubs, ["a", "salt"]).select("a", "b", "hub_text", "text")
-    return materialise(both.mapInArrow(lambda batches: _confirm(batches, size, percent), "a bigint, b bigint"), "near-links")
+    members = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "salt", "own")
+    hubs = salts.join(sets.select(F.col("node").alias("a"), F.col("own").alias("hub_own")), "a")
+    hubs = hubs.select("a", "hub_own", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for hub, own in zip(batch.column("hub_own"), batch.column("own"), strict=True):
+                x, y = _set(hub), _set(own)
+                good.append(bool(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = members.join(hubs, ["a", "salt"]).select("a", "b", "hub_own", "own")
+    return materialise(both.mapInArrow(confirm, "a bigint, b bigint"), "near-links")
+
+
+def block_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between nodes of different labels: enough to join what they join."""
+    root = {x: x for x in labels}
+    if len(root) < 2:
+        return []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for start in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [start, start + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[a:b], column[a:b] - start] = 1.0
+        common += held @ held.T
+    kinds = np.array(labels)
+    linked = _linked(common.astype(np.int64), size[:, None], size[None, :], percent) & (kinds[:, None] != kinds[None, :])
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        a, b = find(labels[i]), find(labels[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def open_links(live: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between different labels inside each bucket of ``live`` (bucket, node, label), block by block."""
+    sets = full_sets(docs, nodes, live.select("node").distinct(), size)
+    count = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / (BLOCK // 2))).cast("int")
+    sizes = live.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", count.alias("blocks"))
+    placed = live.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.select("bucket", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = placed.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label")
+    keyed = keyed.join(sets, "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, ([], [], [])
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "lo", "hi", "node", "label")), batch.column("own"), strict=True)
+            for bucket, lo, hi, node, label, own in keys:
+                if (bucket, lo, hi) != last:
+                    found += block_links(*held, percent)
+                    last, held = (bucket, lo, hi), ([], [], [])
+                held[0].append(node)
+                held[1].append(label)
+                held[2].append(_set(own))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            found = []
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        found = block_links(*held, percent)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return materialise(keyed.mapInArrow(run, "a bigint, b bigint"), "near-open-links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -223,29 +300,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = signed.select("doc_id", "n_shingles", "set_hash").join(nodes.select("set_hash", "n_shingles", "node"), ["set_hash", "n_shingles"], "left")
     rows = materialise(rows.select("doc_id", "n_shingles", "node"), "near-rows")
     several = rows.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("doc_id")
-    found = rows.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    repeated = rows.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
 
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = materialise(member.join(buckets, "bucket").filter("node <> hub"), "near-buckets")
     pairs = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    live = shared.filter("n > 2").select("bucket", "node")
-    done = None
-    while True:
-        new, screened = links(pairs, nodes, docs, done, size, percent)
-        found = found.unionByName(new)
-        done = screened if done is None else done.unionByName(screened)
-        roots = components(found)
-        labelled = live.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-        live = materialise(labelled.join(open_, "bucket", "left_semi"), "near-live")
-        if live.isEmpty():
-            break
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        hubs = live.withColumn("place", place).filter(F.col("place") <= HUBS).select("bucket", F.col("node").alias("a"), F.col("label").alias("a_label"))
-        hubs = materialise(hubs, "near-hubs")
-        pairs = live.join(hubs, "bucket").filter("node > a and label <> a_label").select("a", F.col("node").alias("b")).distinct()
-        live = live.join(hubs.withColumnRenamed("a", "node"), ["bucket", "node"], "left_anti").select("bucket", "node")
+    found = materialise(repeated.unionByName(hub_links(pairs, nodes, docs, size, percent)), "near-found")
+    roots = components(found)
+
+    labelled = shared.filter("n > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+    unsettled = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    live = materialise(labelled.join(unsettled, "bucket", "left_semi"), "near-live")
+    if not live.isEmpty():
+        roots = components(found.unionByName(open_links(live, nodes, docs, size, percent)))
 
     joined = rows.join(roots, "node", "left")
     return joined.select(
