@@ -17,15 +17,14 @@ BROADCAST_IDS = 500_000
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` but those whose id is in ``dropped``."""
+    """``docs`` but those whose id is in ``dropped``; rows with a null id can't be named and stay."""
     ids = materialise(dropped.select("doc_id").dropna().distinct(), "dropped")
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    ship(spark)
-    return _without(docs, quality_rules.apply_rules(docs).filter("not kept"))
+    return quality_rules.kept_rows(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,12 +86,14 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(df: DataFrame) -> DataFrame:
-    """``doc_id, text`` to the base counts and the ratios that rules refer to."""
-    counted = df.select("doc_id", "text", _words(F.col("text")).alias("words"))
+    """``doc_id, text`` to the base counts and the ratios that rules refer to; any other columns stay."""
+    other = [c for c in df.columns if c not in ("doc_id", "text")]
+    counted = df.select("doc_id", "text", *other, _words(F.col("text")).alias("words"))
     has_word = lambda line: F.btrim(line, F.lit(SPACES)) != ""
     lines = F.filter(F.split("text", "\n", -1), has_word)
     base = counted.select(
         "doc_id",
+        *other,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -102,7 +104,7 @@ def measure(df: DataFrame) -> DataFrame:
     over = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     c = F.col
     return base.select(
-        "doc_id", "n_words", "word_chars", "n_symbols",
+        "doc_id", *other, "n_words", "word_chars", "n_symbols",
         c("lines.dup").cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         over(c("word_chars"), c("n_words")).alias("mean_word_length"),
@@ -114,9 +116,13 @@ def measure(df: DataFrame) -> DataFrame:
 
 def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per input row: base counts, ratios, ``base_failed``, ``failed_rules`` (names, in table order) and ``kept``."""
+    return _judge(measure(id_text(df, id_col, text_col)), rules)
+
+
+def _judge(measured: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     failed = [F.when(~F.col(r.metric).between(r.low, r.high), F.lit(r.name)) for r in rules]
-    judged = measure(id_text(df, id_col, text_col)).select(
+    judged = measured.select(
         "*",
         base_failed.alias("base_failed"),
         (F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")).alias("failed_rules"),
@@ -124,6 +130,13 @@ def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``df`` that the rules keep, with all their columns: one pass, no join, so null or repeated ids don't matter."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    carried = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    return _judge(measure(carried), rules).filter("kept").select("row.*")
+
+
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """The same for DuckDB, over the view ``documents``."""
     quoted = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_FORMS)
