@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.steps import written
+
 
 def pick(names: list[str], n: Column) -> Column:
     return F.get(F.array(*map(F.lit, names)), F.pmod(n, F.lit(len(names))).cast("int"))
@@ -43,7 +45,8 @@ def equi_width(df: DataFrame, column: str, buckets: int) -> DataFrame:
 def equi_depth(df: DataFrame, column: str, tie: str, buckets: int) -> DataFrame:
     """Exact equal-count buckets. A range partitioning orders the rows; partition counts turn local ranks into global ones, so no
     task sees more than its range."""
-    ordered = df.select(column, tie).repartitionByRange(F.col(column), F.col(tie)).withColumn("part", F.spark_partition_id())
+    ranged = df.select(column, tie).repartitionByRange(F.col(column), F.col(tie))
+    ordered = written(ranged.withColumn("part", F.spark_partition_id()), "ranges")  # both uses below see the same partitions
     ranked = ordered.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(column, tie)) - 1)
     sizes = ordered.groupBy("part").agg(F.count("*").alias("size"))
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
