@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import id_text, materialise
 
-CELL, RANK, OVER, MAX_SHARE = 24, 128, 16, 0.05
-COSINE, COMMON, COMMON_WITH_ANSWER, ANSWER, MIN_ITEM = 0.4, 0.7, 0.5, 5, 5
+CELL, RANK, OVER, MAX_SHARE = 24, 64, 16, 0.02
+COSINE, COMMON, COMMON_WITH_ANSWER, ANSWER, MIN_ITEM = 0.55, 0.7, 0.5, 5, 5
 BLOCK, MERGERS = 512, 16
 _ITEM_WEIGHT = 1.0
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -80,7 +80,7 @@ def cells(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sum_arrays(encoded: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
-    """Sum over all slices of what ``add(total, ids, at)`` adds to a fixed array: in each task, then in ``MERGERS`` streams, then in one."""
+    """Sum over all slices of what ``add(total, ids, at)`` adds to a fixed array: in each task, then in a tree of streams that take ``MERGERS`` tasks' arrays each."""
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -100,9 +100,13 @@ def _sum_arrays(encoded: DataFrame, shape: tuple[int, ...], add: Callable[[np.nd
         return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     schema = "part binary"
-    merged = encoded.select("ids").mapInArrow(partial, schema).repartition(MERGERS).mapInArrow(merge, schema)
-    rows = merged.coalesce(1).mapInArrow(merge, schema).collect()  # one row
-    return np.frombuffer(rows[0]["part"]).reshape(shape)
+    merged = encoded.select("ids").mapInArrow(partial, schema)
+    tasks = encoded.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // MERGERS)
+        merged = merged.repartition(tasks).mapInArrow(merge, schema)
+    rows = merged.collect()  # one row, none if there are no partitions
+    return np.frombuffer(rows[0]["part"]).reshape(shape) if rows else np.zeros(shape)
 
 
 def _grouped_sums(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,13 +216,15 @@ def _search(encoded: DataFrame, block: list[tuple[object, np.ndarray]], projecti
                 last[first[1:] - 1] = True
                 passage = full[:-1] + np.where(last[:-1, None], 0, full[1:])
                 norm = np.linalg.norm(passage, axis=1)
-                some = np.flatnonzero(norm > 1e-9)
+                some, sure = np.flatnonzero(norm > 1e-9), set()
                 for k in range(0, len(some), 8192):
                     rows = some[k : k + 8192]
                     near = (passage[rows] @ latent.T) >= cosine * norm[rows, None]
                     for p, q in zip(*np.nonzero(near), strict=True):
                         c = rows[p]
                         row = int(np.searchsorted(first, c, side="right")) - 1
+                        if (row, q) in sure:
+                            continue
                         a = at[row] + max(0, c - first[row] - around) * CELL
                         b = min(at[row + 1], at[row] + (c - first[row] + 2 + around) * CELL)
                         item_id, item = block[q]
@@ -227,6 +233,7 @@ def _search(encoded: DataFrame, block: list[tuple[object, np.ndarray]], projecti
                         if share >= COMMON_WITH_ANSWER:
                             answer = _stands_in(item[-ANSWER:].tolist(), window)
                             if share >= COMMON or answer:
+                                sure.add((row, q))
                                 out.append((start + row, item_id, float(passage[c] @ latent[q] / norm[c]), share, answer))
             columns = list(zip(*out, strict=True)) or [()] * 5
             found = [batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c) if c else pa.nulls(0) for c in columns[1:2])]
