@@ -38,7 +38,7 @@ from lamina.llm.pretokens import TwoGenerations, chunks
 BUCKETS, DIM, NONZERO, WINDOW, SLICES = 1 << 14, 64, 4, 2, 32
 MAX_LABELS = 20_000
 FOLDS, THRESHOLD, HIDDEN = 5, 0.3, 32
-_PIECE = re.compile(r"[^\W_]+|[^\w\s]+|_+")
+_PIECE, _DIGIT = re.compile(r"[^\W_]+|[^\w\s]+|_+"), re.compile(r"\d")
 _SHAPES = 64  # buckets kept for the shapes of words
 
 
@@ -55,15 +55,21 @@ class Buckets:
     def _miss(self, word: str) -> bytes:
         found = self.memo.old.get(word)
         if found is None:
-            shape = (word[:1].isupper()) + 2 * (word.isupper() and len(word) > 1) + 4 * any(c.isdigit() for c in word) + 8 * (not word[-1:].isalnum()) + 16 * (not word.isalnum())
-            pieces = [zlib.crc32(p.lower().encode()) % (BUCKETS - _SHAPES) + _SHAPES for p in _PIECE.findall(word)]
-            found = np.array([shape, *pieces], np.uint16).tobytes()
+            shape = word[:1].isupper() + 2 * (word.isupper() and len(word) > 1)
+            if word.isalpha():
+                pieces = (word,)
+            elif word[:-1].isalpha() and not word[-1].isalnum() and word[-1] != "_":
+                pieces, shape = (word[:-1], word[-1]), shape + 24
+            else:
+                pieces, shape = _PIECE.findall(word), shape + 4 * bool(_DIGIT.search(word)) + 8 * (not word[-1].isalnum()) + 16 * (not word.isalnum())
+            numbers = [shape, *(zlib.crc32(p.lower().encode()) % (BUCKETS - _SHAPES) + _SHAPES for p in pieces)]
+            found = b"".join([n.to_bytes(2, "little") for n in numbers])
         self.memo.put(word, found)
         return found
 
     def of(self, text: str) -> np.ndarray:
         get, miss = self.memo.young.get, self._miss
-        return np.frombuffer(b"".join([get(w) or miss(w) for w in text.split()]), np.uint16)
+        return np.frombuffer(b"".join([get(w) or miss(w) for w in text.split()]), "<u2")
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -79,21 +85,22 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
         buckets, total = Buckets(), np.zeros(BUCKETS * DIM)
-        apart = np.zeros(WINDOW, np.int64)
+        apart = np.full(WINDOW, BUCKETS, np.uint16)  # between texts
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                ids = np.concatenate([x for t in texts[a:b] for x in (buckets.of(t), apart - 1)]) if b > a else apart
-                ids = ids.astype(np.int64)
+            for a, b in chunks(texts, 1 << 20):
+                ids = np.concatenate([x for t in texts[a:b] for x in (buckets.of(t), apart)]).astype(np.int32)
+                ids = ids[(ids >= _SHAPES)]
+                hit, by = [], []
                 for step in range(1, WINDOW + 1):
                     left, right = ids[:-step], ids[step:]
-                    inside = (left >= 0) & (right >= 0)
-                    left, right = left[inside], right[inside]
-                    pair, n = np.unique(left * BUCKETS + right, return_counts=True)
+                    pair, n = np.unique((left * np.int32(BUCKETS) + right)[(left < BUCKETS) & (right < BUCKETS)], return_counts=True)
                     left, right = pair // BUCKETS, pair % BUCKETS
-                    for k in range(NONZERO):
-                        total += np.bincount(left * DIM + places[right, k], n * signs[right, k], BUCKETS * DIM)
-                        total += np.bincount(right * DIM + places[left, k], n * signs[left, k], BUCKETS * DIM)
+                    for own, other in ((left, right), (right, left)):
+                        for k in range(NONZERO):
+                            hit.append(own * DIM + places[other, k])
+                            by.append(n * signs[other, k])
+                total += np.bincount(np.concatenate(hit), np.concatenate(by), BUCKETS * DIM)
         for k, part in enumerate(np.split(total.astype(np.float32), SLICES)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "part"])
