@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lamina.llm.common import id_text, materialise
 
 CELL, RANK, OVER, MAX_SHARE = 24, 64, 16, 0.02
-COSINE, COMMON, COMMON_WITH_ANSWER, ANSWER, MIN_ITEM = 0.55, 0.7, 0.5, 5, 5
+COSINE, COMMON, COMMON_WITH_ANSWER, ANSWER, MIN_ITEM = 0.5, 0.7, 0.5, 5, 5
 BLOCK, MERGERS = 512, 16
 _ITEM_WEIGHT = 1.0
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
