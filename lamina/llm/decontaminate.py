@@ -7,7 +7,8 @@ random W, then Nystroem) gives ``RANK`` latent directions; benchmark items enter
 that the directions tell items apart. A passage is a candidate for the items its latent vector has a cosine of
 ``COSINE`` or more with, and is then checked on the words: the longest common subsequence of the item and a stretch of
 twice its length in the cells around must cover ``COMMON`` of the item, or ``COMMON_WITH_ANSWER`` if the item's last
-``ANSWER`` words, its answer, stand there side by side too.
+``ANSWER`` words, its answer, stand there side by side too. What the cosine leaves out is found by counting words (``Exact``):
+every stretch that may pass the check on the words is checked, so recall hangs on no cosine, rank or weight.
 
 Scale. The texts are read once and written as numbers of benchmark words. Both corpus passes map over that table
 and add up fixed-size arrays (terms x 1, terms x ``RANK`` + ``OVER``), summed in a tree, so the driver receives one
@@ -34,6 +35,9 @@ CELL, RANK, OVER, MAX_SHARE = 24, 64, 16, 0.02
 COSINE, COMMON, COMMON_WITH_ANSWER, ANSWER, MIN_ITEM = 0.5, 0.7, 0.5, 5, 5
 BLOCK, MERGERS = 512, 16
 _ITEM_WEIGHT = 1.0
+#: For the choice of the words that the exact search counts: how much more often words come where their like stand, the cost
+#: of a check in words read; and the occurrences held at once. They don't change what is found.
+_BURSTS, _CHECK_COST, _PAIRS = 4, 5000.0, 1 << 22
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 _RESULT = "doc_id {}, item_id {}, cosine double, common double, answer boolean"
 
@@ -115,8 +119,8 @@ def _grouped_sums(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np
     return group[first], np.add.reduceat(values, first, axis=0)
 
 
-def directions(encoded: DataFrame, items: list[np.ndarray], n_terms: int) -> np.ndarray:
-    """Weighted latent projection, ``n_terms`` x ``RANK``: a cell's latent vector is the sum of its words' rows."""
+def directions(encoded: DataFrame, items: list[np.ndarray], n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted latent projection, ``n_terms`` x ``RANK``: a cell's latent vector is the sum of its words' rows; and the share of the cells that hold each term."""
 
     def count(total: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
         cell, first = cells(ids, at)
@@ -159,7 +163,7 @@ def directions(encoded: DataFrame, items: list[np.ndarray], n_terms: int) -> np.
     good = values > values[-1] * 1e-10
     root = g @ (vectors[:, good] / np.sqrt(values[good])) if good.any() else np.zeros((n_terms, 1))
     left = np.linalg.svd(root, full_matrices=False)[0][:, :RANK]
-    return (weight[:, None] * left).astype(np.float32)
+    return (weight[:, None] * left).astype(np.float32), counted[:n_terms] / n
 
 
 def common_length(masks: dict[int, int], size: int, other: list[int]) -> int:
@@ -180,22 +184,150 @@ def _stands_in(answer: list[int], other: list[int]) -> bool:
 
 def _compact_share(masks: dict[int, int], size: int, window: list[int]) -> float:
     """Share of the item that is common with a stretch of at most twice its length."""
-    if common_length(masks, size, window) < COMMON_WITH_ANSWER * size:
-        return 0.0
-    step = max(1, size // 4)
-    return max(common_length(masks, size, window[k : k + 2 * size]) for k in range(0, max(1, len(window) - 2 * size + step), step)) / size
-
-
-def _search(encoded: DataFrame, block: list[tuple[object, np.ndarray]], projection: np.ndarray, item_kind: str, cosine: float) -> DataFrame:
+    best = 0
+    for k in range(0, len(window), 2 * size):
+        near = window[k : k + 4 * size]  # holds the stretches that start in the first half
+        most = common_length(masks, size, near)
+        if most <= best or most < COMMON_WITH_ANSWER * size:
+            continue
+        for j in range(min(2 * size, len(near))):
+            if near[j] in masks:
+                best = max(best, common_length(masks, size, near[j : j + 2 * size]))
+                if best == most:
+                    break
+    return best / size
+
+
+def _masks(item: list[int]) -> dict[int, int]:
+    places: dict[int, int] = {}
+    for k, w in enumerate(item):
+        places[w] = places.get(w, 0) | 1 << k
+    return places
+
+
+class Exact:
+    """All (row, item) pairs whose texts share enough words in order, whatever the corpus.
+
+    A stretch that has ``COMMON`` of an item lacks at most the rest of its words; so of any r of the item's words it has r
+    less that many. The r rarest are counted, r chosen for the least work; every stretch with enough of them is checked.
+    Below ``COMMON`` the answer must stand in the text, which is looked up by itself.
+    """
+
+    def __init__(self, items: list[np.ndarray], shares: np.ndarray) -> None:
+        self.items = [i.tolist() for i in items]
+        self.size = np.array([len(i) for i in items])
+        self.masks = [_masks(i) for i in self.items]
+        self.reach = (2 * -(-int(self.size.max()) // CELL) + 2) * CELL
+        pairs, self.need = [], np.zeros(len(items), np.int64)
+        for q, item in enumerate(items):
+            chosen, self.need[q] = self._rarest(item, shares)
+            pairs += [(w, q) for w in chosen]
+        pairs.sort()
+        self.owner = np.array([q for _, q in pairs], np.int64)
+        self.count = np.bincount([w for w, _ in pairs], minlength=len(shares))
+        self.start = np.cumsum(self.count) - self.count
+        self.answers: dict[bytes, list[int]] = {}
+        for q, item in enumerate(items):
+            self.answers.setdefault(item[-ANSWER:].astype(np.int32).tobytes(), []).append(q)
+        self.hashes = np.array([self._hash(np.frombuffer(a, np.int32), np.array([ANSWER - 1]))[0] for a in self.answers])
+        self.ends = np.zeros(len(shares), bool)
+        self.ends[[i[-1] for i in self.items]] = True
+
+    @staticmethod
+    def _rarest(item: np.ndarray, shares: np.ndarray) -> tuple[set[int], int]:
+        """The words of an item that are counted, and how many of their occurrences a stretch must hold."""
+        size = len(item)
+        lacks = size - next(k for k in range(size + 1) if k / size >= COMMON)
+        order = item[np.argsort(shares[item], kind="stable")].tolist()
+        best, rate = None, 0.0
+        for r, w in enumerate(order, 1):
+            rate += 0.0 if w in order[: r - 1] else float(shares[w]) / CELL
+            if r > lacks:
+                k, mean = r - lacks, max(_BURSTS * 2 * size * rate, 1e-9)
+                chance = 1.0 if k <= mean else float(np.exp(k - mean - k * np.log(k / mean)))
+                if best is None or rate + _CHECK_COST * chance < best[0]:
+                    best = rate + _CHECK_COST * chance, r, k
+        return set(order[: best[1]]), best[2]
+
+    @staticmethod
+    def _hash(ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(last), np.uint64)
+        for k in range(ANSWER - 1, -1, -1):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + ids[last - k].astype(np.uint64)
+        return h
+
+    def _stretches(self, ids: np.ndarray, at: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
+        """Row, item, first and last start of the stretches of rows ``lo`` to ``hi`` that hold enough of the item's counted words."""
+        part = ids[at[lo] : at[hi]]
+        place = np.flatnonzero(part >= 0)
+        place = place[self.count[part[place]] > 0]
+        times = self.count[part[place]]
+        total = int(times.sum())
+        if total > _PAIRS and hi - lo > 1:
+            mid = (lo + hi) // 2
+            yield from self._stretches(ids, at, lo, mid)
+            yield from self._stretches(ids, at, mid, hi)
+            return
+        if not total:
+            return
+        place = place + at[lo]
+        item = self.owner[np.repeat(self.start[ids[place]] - (np.cumsum(times) - times), times) + np.arange(total)]
+        gap = 2 * int(self.size.max())  # keeps rows and items apart
+        apart = place + (np.searchsorted(at, place, side="right") - 1) * gap
+        bits = int(at[hi] + (hi + 1) * gap).bit_length()
+        key = np.sort((item << bits) | np.repeat(apart, times))
+        item = key >> bits
+        behind = np.arange(total) + self.need[item] - 1
+        hit = np.flatnonzero(behind < total)
+        hit = hit[key[behind[hit]] - key[hit] < 2 * self.size[item[hit]]]
+        if not len(hit):
+            return
+        item, mask = item[hit], (1 << bits) - 1
+        last, first = key[hit] & mask, (key[behind[hit]] & mask) - 2 * self.size[item] + 1
+        fresh = np.append(True, (item[1:] != item[:-1]) | (first[1:] > last[:-1] + 1))
+        begin = np.flatnonzero(fresh)
+        end = np.append(begin[1:], len(hit)) - 1
+        spread = at + np.arange(len(at)) * gap
+        row = np.searchsorted(spread, last[begin], side="right") - 1
+        yield from zip(row.tolist(), item[begin].tolist(), (first[begin] - row * gap).tolist(), (last[end] - row * gap).tolist(), strict=True)
+
+    def _answers(self, ids: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Row, item and last place of every answer that stands in a text."""
+        last = np.flatnonzero(ids >= 0)
+        last = last[self.ends[ids[last]]]
+        row = np.searchsorted(at, last, side="right") - 1
+        inside = last - (ANSWER - 1) >= at[row]
+        last, row = last[inside], row[inside]
+        same = np.isin(self._hash(ids, last), self.hashes)
+        for p, r in zip(last[same].tolist(), row[same].tolist(), strict=True):
+            for q in self.answers.get(ids[p - ANSWER + 1 : p + 1].tobytes(), ()):
+                yield r, q, p
+
+    def pairs(self, ids: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[float, bool]]:
+        """By row and item: the best share in common, and whether the answer stands near."""
+        out: dict[tuple[int, int], tuple[float, bool]] = {}
+
+        def check(row: int, q: int, a: int, b: int, least: float, answer: bool) -> None:
+            before = out.get((row, q), (0.0, False))
+            if before[0] == 1.0 and before[1] >= answer:
+                return
+            share = _compact_share(self.masks[q], int(self.size[q]), ids[max(a, at[row]) : min(b, at[row + 1])].tolist())
+            if share >= least:
+                out[row, q] = max(before[0], share), before[1] or answer
+
+        for row, q, p in self._answers(ids, at):
+            check(row, q, p + 1 - self.reach, p - ANSWER + 1 + self.reach, COMMON_WITH_ANSWER, True)
+        for row, q, first, last in self._stretches(ids, at, 0, len(at) - 1):
+            check(row, q, first, last + 2 * int(self.size[q]), COMMON, False)
+        return out
+
+
+def _search(encoded: DataFrame, block: list[tuple[object, np.ndarray]], projection: np.ndarray, shares: np.ndarray, item_kind: str, cosine: float) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
     latent = np.array([projection[i].sum(axis=0) for _, i in block])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    masks: list[dict[int, int]] = []
-    for _, item in block:
-        places: dict[int, int] = {}
-        for k, w in enumerate(item.tolist()):
-            places[w] = places.get(w, 0) | 1 << k
-        masks.append(places)
+    exact = Exact([i for _, i in block], shares)
+    masks = exact.masks
     telling = np.abs(projection).sum(axis=1) > 0
     longest = max(len(i) for _, i in block)
     around = max(1, -(-longest // CELL))
@@ -205,18 +337,24 @@ def _search(encoded: DataFrame, block: list[tuple[object, np.ndarray]], projecti
             out: list[tuple] = []
             for start, _, ids, at in _slices(batch):
                 cell, first = cells(ids, at)
+                found = exact.pairs(ids, at)
                 known = ids >= 0
                 known[known] = telling[ids[known]]
-                if not known.any():
+                if not known.any() and not found:
                     continue
                 full = np.zeros((first[-1] + 1, projection.shape[1]), np.float32)
-                own, sums = _grouped_sums(projection[ids[known]], cell[known])
-                full[own] = sums
+                if known.any():
+                    own, sums = _grouped_sums(projection[ids[known]], cell[known])
+                    full[own] = sums
                 last = np.zeros(first[-1] + 1, bool)
                 last[first[1:] - 1] = True
                 passage = full[:-1] + np.where(last[:-1, None], 0, full[1:])
                 norm = np.linalg.norm(passage, axis=1)
-                some, sure = np.flatnonzero(norm > 1e-9), set()
+                some, sure = np.flatnonzero(norm > 1e-9), set(found)
+                for (row, q), (share, answer) in found.items():
+                    c = slice(first[row], first[row + 1])
+                    best = float((passage[c] @ latent[q] / np.maximum(norm[c], 1e-9)).max())
+                    out.append((start + row, block[q][0], best, share, answer))
                 for k in range(0, len(some), 8192):
                     rows = some[k : k + 8192]
                     near = (passage[rows] @ latent.T) >= cosine * norm[rows, None]
@@ -236,10 +374,10 @@ def _search(encoded: DataFrame, block: list[tuple[object, np.ndarray]], projecti
                                 sure.add((row, q))
                                 out.append((start + row, item_id, float(passage[c] @ latent[q] / norm[c]), share, answer))
             columns = list(zip(*out, strict=True)) or [()] * 5
-            found = [batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c) if c else pa.nulls(0) for c in columns[1:2])]
-            found += [pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.bool_())]
+            arrays = [batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c) if c else pa.nulls(0) for c in columns[1:2])]
+            arrays += [pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.bool_())]
             if out:
-                yield pa.RecordBatch.from_arrays(found, ["doc_id", "item_id", "cosine", "common", "answer"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "cosine", "common", "answer"])
 
     return encoded.mapInArrow(run, _RESULT.format(kind, item_kind))
 
@@ -267,8 +405,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         vocabulary = {w: k for k, w in enumerate(sorted({w for _, item in block for w in item}))}
         items = [np.array([vocabulary[w] for w in item], np.int64) for _, item in block]
         encoded = materialise(encode(docs, vocabulary), "decontaminate-encoded")
-        projection = directions(encoded, items, len(vocabulary))
-        hits = _search(encoded, [(i, x) for (i, _), x in zip(block, items, strict=True)], projection, item_kind, cosine)
+        projection, shares = directions(encoded, items, len(vocabulary))
+        hits = _search(encoded, [(i, x) for (i, _), x in zip(block, items, strict=True)], projection, shares, item_kind, cosine)
         hits = materialise(hits, "decontaminate-hits")
         found = hits if found is None else found.unionByName(hits)
     if found is None:

@@ -104,6 +104,44 @@ def test_leaks_and_clean_documents(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_leaks_that_the_cosine_misses(spark):
+    """Against a search of all stretches, at a cosine that no passage reaches."""
+    rng = random.Random(9)
+    pool = words(rng, 60)
+    items = [rng.choices(pool, k=rng.choice([5, 12, 30, 70])) for _ in range(12)]
+    docs = []
+    for i in range(80):
+        part = list(items[i % 12])
+        for _ in range(rng.randint(0, len(part) * 2 // 5)):
+            part[rng.randrange(len(part))] = rng.choice(pool + ["other"])
+        docs.append(rng.choices(pool, k=rng.randint(0, 300)) + part * rng.randint(0, 1) + rng.choices(pool, k=rng.randint(0, 60)))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1] / len(a)
+
+    for item in items:  # at the end of a window, behind other words
+        ids = [pool.index(w) for w in item]
+        assert decontaminate._compact_share(decontaminate._masks(ids), len(ids), [-1] * 2 * len(ids) + ids + [-1] * 3) == 1.0
+    truth = {}
+    for d, text in enumerate(docs):
+        for q, item in enumerate(items):
+            if (most := common(item, text)) >= 0.7:
+                best = max(common(item, text[k : k + 2 * len(item)]) for k in range(len(text)))
+                if best >= 0.7:
+                    truth[d, q] = best
+                assert best <= most
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(q, " ".join(i)) for q, i in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(df, bench, cosine=1.01).collect()}
+    assert {k: r.common for k, r in found.items() if r.common >= 0.7} == truth and len(truth) > 20
+    assert all(r.answer for r in found.values() if r.common < 0.7)
+
+
 def test_subsequence():
     rng = random.Random(2)
     for _ in range(200):
