@@ -5,16 +5,18 @@ from splitting the text at the pattern: the pieces' and the matches' lengths add
 without backtracking (possessive, anchored at the start of a run), which finds the same matches in linear time and without
 deep recursion, whatever the text.
 
-Sanitisation: the words within ``CONTEXT`` characters of an entity may give it away. Over the corpus, with document
-counts, the pointwise mutual information of term t and entity e, log2(n(t,e) N / (n(t) n(e))), is set against the
+Sanitisation: the words of a document that holds an entity may give it away, wherever they stand. Over the corpus, with
+document counts, the pointwise mutual information of term t and entity e, log2(n(t,e) N / (n(t) n(e))), is set against the
 information content of e, log2(N / n(e)). A term seen with the entity in ``MIN_DOCS`` documents or more whose share
-of that content reaches ``DISCLOSURE`` is a span of the document too; from ``REMOVAL`` on it is removed from the
-text, below it is generalised.
+of that content reaches ``DISCLOSURE`` is a span wherever it stands, in all documents; from ``REMOVAL`` on it is
+removed from the text, below it is generalised.
 
-Scale. One pass over the texts writes a narrow table of spans and contexts; a second one counts the candidate terms
-(distinct words per document; joined by broadcast if the terms are at most ``BROADCAST_TERMS``, counted, else word
-counts are aggregated before the shuffle). All else are narrow tables; counts aggregate on the map side, so
-an entity in a third of all documents is no hot group.
+Scale. One pass over the texts writes a narrow table of spans; a second one counts the terms (distinct words per
+document, aggregated before the shuffle), a third pairs the terms with the entities of their document, a fourth finds
+the documents that hold a disclosing term. As n(t,e) is at most n(e), a share of ``DISCLOSURE`` needs
+n(t) <= n(e) (N / n(e)) ** (1 - ``DISCLOSURE``): only terms within that bound are paired, which loses none. Terms are joined
+by broadcast if they are at most ``BROADCAST_TERMS``, counted. All else are narrow tables; counts aggregate on the
+map side, so an entity in a third of all documents is no hot group.
 
 Defined cases. A null text counts as empty: no spans, the digest of the empty string. Rows that repeat id and text
 have the same spans and count separately as documents. Overlapping spans of different kinds are one replacement in
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import let, materialise
 
-CONTEXT, MIN_DOCS, DISCLOSURE, REMOVAL = 48, 2, 0.9, 0.999
+MIN_DOCS, DISCLOSURE, REMOVAL = 2, 0.9, 0.999
 BROADCAST_TERMS = 200_000
 
 _PART = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -40,7 +42,9 @@ KINDS = (
     ("card", r"[0-9](?:[ -]?[0-9])++", lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}")),
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+"))),
 )
-_WORD = r"[\p{L}\p{M}]{4,}+"
+_BETWEEN = r"[^\p{L}\p{M}]+"
+#: Stands for a base span while the words are split: no letter, and no character of a text.
+_CUT = "\ufdd0"
 _SPANS = "array<struct<s:int,e:int>>"
 
 
@@ -70,13 +74,13 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def places(text: Column, pattern: str, valid) -> Column:
+def places(text: Column, pattern: Column, valid) -> Column:
     """Start and end of every match that is valid."""
 
     def of(pieces: Column) -> Column:
         size = lambda i: F.length(F.get(pieces, i))
         return F.aggregate(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            F.regexp_extract_all(text, pattern, F.lit(0)),
             F.struct(size(F.lit(0)).alias("at"), F.lit(0).alias("i"), F.array().cast(_SPANS).alias("out")),
             lambda acc, x: F.struct(
                 (acc["at"] + F.length(x) + size(acc["i"] + 1)).alias("at"),
@@ -97,66 +101,95 @@ def base_spans(text: Column) -> Column:
     """Array of ``(kind number, s, e)``, by kind, then start."""
     found = []
     for k, (kind, pattern, test) in enumerate(KINDS):
-        at = F.when(test(text), places(text, pattern, lambda x, kind=kind: _valid(kind, x))).otherwise(F.array().cast(_SPANS))
+        at = F.when(test(text), places(text, F.lit(pattern), lambda x, kind=kind: _valid(kind, x))).otherwise(F.array().cast(_SPANS))
         found.append(_of_kind(at, k))
     return F.concat(*found)
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """Array of ``(entity, term, s, e)``: the words around each span that lie in no span."""
+def _entities(text: Column, spans: Column) -> Column:
+    """The distinct entities of a document."""
+    return F.array_distinct(F.transform(spans, lambda x: F.concat(_name(x["k"]), F.lit(":"), F.lower(F.substring(text, x["s"] + 1, x["e"] - x["s"])))))
 
-    def around(span: Column) -> Column:
-        entity = F.concat(_name(span["k"]), F.lit(":"), F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"])))
-        from_ = F.greatest(span["s"] - CONTEXT, F.lit(0))
-        left, right = F.substring(text, from_ + 1, span["s"] - from_), F.substring(text, span["e"] + 1, F.lit(CONTEXT))
-        whole = lambda window, at, first, last: F.filter(
-            F.transform(places(window, _WORD, lambda x: F.lit(True)), lambda w: F.struct((w["s"] + at).alias("s"), (w["e"] + at).alias("e"), F.lower(F.substring(window, w["s"] + 1, w["e"] - w["s"])).alias("term"))),
-            lambda w: (first | (w["s"] > at)) & (last | (w["e"] < at + F.length(window))),
-        )
-        words = F.concat(whole(left, from_, from_ == 0, F.lit(True)), whole(right, span["e"], F.lit(True), F.length(right) < CONTEXT))
-        return F.transform(words, lambda w: F.struct(entity.alias("entity"), w["term"].alias("term"), w["s"].alias("s"), w["e"].alias("e")))
 
-    apart = lambda w: ~F.exists(spans, lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"]))
-    return F.filter(F.flatten(F.transform(spans, around)), apart)
+def _cut(text: Column, cuts: Column) -> Column:
+    """``text`` with every one of the sorted ``(s, e, by)`` replaced; the first of those that overlap names them all."""
+    return F.aggregate(
+        cuts,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, x: F.struct(
+            F.greatest(acc["at"], x["e"]).alias("at"),
+            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["by"])).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+
+
+def _free_words(text: Column, spans: Column) -> Column:
+    """The distinct words, as they are written, of 4 letters or more that no base span touches."""
+    cuts = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(_CUT).alias("by"))))
+    clean = F.translate(text, _CUT, " ")
+    words = F.array_distinct(F.split(F.when(F.size(spans) > 0, _cut(clean, cuts)).otherwise(clean), rf"[^\p{{L}}\p{{M}}{_CUT}]+"))
+    return F.filter(words, lambda w: (F.length(w) >= 4) & ~F.contains(w, F.lit(_CUT)))
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table ``doc_id, key, spans, contexts``; the key is a hash of id and text."""
+    """Written table ``doc_id, key, spans, entities, words``; the key is a hash of id and text; ``words`` only where there are entities."""
+    docs = _keyed(df, id_col, text_col)
+    found = docs.withColumn("spans", base_spans(F.col("text")))
+    words = F.array_distinct(F.transform(_free_words(F.col("text"), F.col("spans")), F.lower))
+    own = F.when(F.size("spans") > 0, words).otherwise(F.array().cast("array<string>"))
+    return materialise(found.select("doc_id", "key", "spans", _entities(F.col("text"), F.col("spans")).alias("entities"), own.alias("words")), "pii-base")
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    found = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", base_spans(F.col("text")).alias("spans"))
-    none = F.array().cast("array<struct<entity:string,term:string,s:int,e:int>>")
-    contexts = F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"))).otherwise(none)
-    return materialise(found.select("doc_id", "key", "spans", contexts.alias("contexts")), "pii-base")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if it has at most ``BROADCAST_TERMS`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
 
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``entity, term, share``: the terms that give an entity away; ``texts`` has the column ``text`` of all documents."""
-    seen = found.select("doc_id", "key", F.explode("contexts").alias("c")).select("doc_id", "key", "c.entity", "c.term").distinct()
-    together = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= MIN_DOCS)
-    entities = seen.select("doc_id", "key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    together = materialise(together.join(entities, "entity"), "pii-together")
-    terms = materialise(together.select("term").distinct(), "pii-terms")
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("term"))
-    many = terms.count()
-    if many <= BROADCAST_TERMS:
-        counted = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        counted = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+    """``term, share``: the terms that give an entity away and the largest share; ``texts`` has the column ``text`` of all documents."""
     n = float(found.count())
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    bound = F.col("n_e") * F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
+    entities = entities.filter((F.col("n_e") >= MIN_DOCS) & (F.col("n_e") < n)).withColumn("most", bound)
+    entities = materialise(entities, "pii-entities")
+    most = entities.agg(F.max("most")).first()[0] or 0.0
+    counted = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), _BETWEEN))).alias("term")).filter(F.length("term") >= 4)
+    counted = counted.groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t").between(MIN_DOCS, most))
+    counted = materialise(counted, "pii-terms")
+    held = found.select(F.explode("entities").alias("entity"), "words").join(_small(entities), "entity")
+    pairs = held.select("entity", "n_e", "most", F.explode("words").alias("term")).join(_small(counted), "term").filter("n_t <= most")
+    together = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= MIN_DOCS)
     share = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(n) / F.col("n_e"))
-    judged = together.join(counted, "term").filter(F.col("n_e") < n).select("entity", "term", share.alias("share"))
-    return materialise(judged.filter(F.col("share") >= DISCLOSURE), "pii-disclosing")
+    judged = together.select("term", share.alias("share")).filter(F.col("share") >= DISCLOSURE)
+    return materialise(judged.groupBy("term").agg(F.max("share").alias("share")), "pii-disclosing")
+
+
+def _marked(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """``doc_id, key, terms``: where the terms of ``told`` stand in the documents that hold any."""
+    words = docs.select("doc_id", "key", F.explode(F.array_distinct(F.split("text", _BETWEEN))).alias("word")).withColumn("term", F.lower("word"))
+    holders = words.join(_small(told), "term").groupBy("doc_id", "key").agg(F.collect_set(F.struct("word", "share")).alias("told"))
+    holders = materialise(holders.withColumnRenamed("doc_id", "own_id").withColumnRenamed("key", "own_key"), "pii-holders")
+    own = docs.join(_small(holders), (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+    any_word = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join("told.word", "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    own = own.select("doc_id", "key", "text", F.map_from_entries("told").alias("told"), any_word.alias("pattern"), base_spans(F.col("text")).alias("spans"))
+    own = own.withColumn("at", places(F.col("text"), F.col("pattern"), lambda x: F.lit(True)))
+    apart = F.filter("at", lambda w: ~F.exists("spans", lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"])))
+    terms = F.transform(apart, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.element_at("told", F.substring("text", w["s"] + 1, w["e"] - w["s"])).alias("share")))
+    return own.select("doc_id", "key", terms.alias("terms")).groupBy("doc_id", "key").agg(F.first("terms").alias("terms"))
 
 
 def all_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, key, spans, terms`` per input row; terms as ``(s, e, share)``."""
     found = detect(df, id_col, text_col)
-    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    told = disclosing(found, texts)
-    placed = found.select("doc_id", "key", F.explode("contexts").alias("c")).select("doc_id", "key", "c.*").join(told, ["entity", "term"])
-    by_place = placed.groupBy("doc_id", "key", "s", "e").agg(F.max("share").alias("share"))
-    terms = by_place.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
-    terms = terms.withColumnRenamed("doc_id", "own_id").withColumnRenamed("key", "own_key")
+    docs = _keyed(df, id_col, text_col)
+    told = disclosing(found, docs.select("text"))
+    terms = _marked(docs, told).withColumnRenamed("doc_id", "own_id").withColumnRenamed("key", "own_key")
     joined = found.join(terms, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
     return joined.select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,share:double>>")).alias("terms"))
 
@@ -176,7 +209,7 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with every span of its text replaced: base spans by ``[EMAIL]`` and the like, terms by ``[TERM]`` or nothing."""
-    found = all_spans(df, id_col, text_col).filter("size(spans) > 0")
+    found = all_spans(df, id_col, text_col).filter("size(spans) > 0 or size(terms) > 0")
     base = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(_name(x["k"])), F.lit("]")).alias("by")))
     terms = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["share"] >= REMOVAL, "").otherwise("[TERM]").alias("by")))
     cuts = materialise(found.groupBy("doc_id", "key").agg(F.first(F.array_sort(F.concat(base, terms))).alias("pii_cuts")), "pii-cuts")
@@ -184,14 +217,6 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = F.xxhash64(F.col(f"`{id_col}`"), text)
     joined = df.join(cuts, (key == F.col("pii_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("pii_id")), "left")
-    cut = F.aggregate(
-        "pii_cuts",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["by"])).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    cut = _cut(text, F.col("pii_cuts"))
     clean = F.when(F.col("pii_cuts").isNull(), F.col(f"`{text_col}`")).otherwise(cut)
     return joined.withColumn(text_col, clean).select(*(F.col(f"`{c}`") for c in df.columns))

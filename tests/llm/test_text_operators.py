@@ -118,6 +118,20 @@ def test_pii_terms_that_reveal(spark):
     assert got[10].text == texts[10]
 
 
+def test_pii_terms_anywhere_in_the_corpus(spark):
+    """Far from the entity, repeated, and in a document without one; a word that a base span touches is no term."""
+    far = " ".join(["weather report about nothing"] * 40)
+    texts = [f"Write to ann@x.org. {far} Falconridge {far} FALCONRIDGE." for _ in range(6)] + ["Seen again: Falconridge, not Falconridges.", "mail Falconridge@y.org"]
+    texts += [f"weather report number {i} about nothing, write again, seen mail" for i in range(60)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(pii.sanitise(df))
+    spans = by_id(pii.report(df))
+    for i in range(6):
+        assert "falconridge" not in got[i].text.lower() and "weather" in got[i].text and spans[i].spans.count("term:") == 2
+    assert got[6].text in ("Seen again: , not Falconridges.", "Seen again: [TERM], not Falconridges.") and spans[6].spans.startswith("term:12:23")
+    assert got[7].text == "mail [EMAIL]" and all(got[i].text == texts[i] for i in range(8, len(texts)))
+
+
 def test_licences_as_brute_force(spark):
     bits = ["cc", "by", "CC-BY", "general", "public", "license", "all rights", "reserved", "é", "mit", ",", "\n", "lesser"]
     texts = [None, "", *(" ".join(x) for x in [random.Random(s).choices(bits, k=30) for s in range(80)])]
