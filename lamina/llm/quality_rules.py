@@ -85,56 +85,64 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, lambda ws: let(windows(ws), of)))
 
 
-def measure(df: DataFrame) -> DataFrame:
-    """``doc_id, text`` to the base counts and the ratios that rules refer to; any other columns stay."""
-    other = [c for c in df.columns if c not in ("doc_id", "text")]
-    counted = df.select("doc_id", "text", *other, _words(F.col("text")).alias("words"))
+def measured(text: Column) -> Column:
+    """One struct of the base counts and the ratios that rules refer to. Words and lines are bound to lambda
+    variables, so however often the result is referred to, or a filter on it is moved, the text is split once."""
     has_word = lambda line: F.btrim(line, F.lit(SPACES)) != ""
-    lines = F.filter(F.split("text", "\n", -1), has_word)
-    base = counted.select(
-        "doc_id",
-        *other,
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup"))).alias("lines"),
-        _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("words", lambda w: w.isin(STOP_FORMS))).alias("stop_words"),
-    )
     over = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    c = F.col
-    return base.select(
-        "doc_id", *other, "n_words", "word_chars", "n_symbols",
-        c("lines.dup").cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        over(c("word_chars"), c("n_words")).alias("mean_word_length"),
-        over(c("n_symbols"), c("word_chars")).alias("symbol_ratio"),
-        over(c("stop_words"), c("n_words")).alias("stop_word_ratio"),
-        over(c("lines.dup"), c("lines.n")).alias("dup_line_ratio"),
-    )
 
+    def counts(ws: Column) -> Column:
+        lines = let(F.filter(F.split(text, "\n", -1), has_word), lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup")))
+        return F.struct(
+            F.size(ws).cast("long").alias("n_words"),
+            F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            lines.alias("lines"),
+            _repeat_words(ws).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(ws, lambda w: w.isin(STOP_FORMS))).alias("stop_words"),
+        )
 
-def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per input row: base counts, ratios, ``base_failed``, ``failed_rules`` (names, in table order) and ``kept``."""
-    return _judge(measure(id_text(df, id_col, text_col)), rules)
+    def ratios(c: Column) -> Column:
+        return F.struct(
+            *(c[n].alias(n) for n in ("n_words", "word_chars", "n_symbols")),
+            c["lines"]["dup"].cast("long").alias("n_dup_lines"),
+            c["n_repeat_words"].alias("n_repeat_words"),
+            over(c["word_chars"], c["n_words"]).alias("mean_word_length"),
+            over(c["n_symbols"], c["word_chars"]).alias("symbol_ratio"),
+            over(c["stop_words"], c["n_words"]).alias("stop_word_ratio"),
+            over(c["lines"]["dup"], c["lines"]["n"]).alias("dup_line_ratio"),
+        )
+
+    return let(let(_words(text), counts), ratios)
 
 
-def _judge(measured: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    failed = [F.when(~F.col(r.metric).between(r.low, r.high), F.lit(r.name)) for r in rules]
-    judged = measured.select(
-        "*",
-        base_failed.alias("base_failed"),
+def _base_failed(m: Column) -> Column:
+    return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+
+
+def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per input row: base counts, ratios, ``base_failed``, ``failed_rules`` (names, in table order) and ``kept``."""
+    m = id_text(df, id_col, text_col).select("doc_id", measured(F.col("text")).alias("m"))
+    failed = [F.when(~F.col("m")[r.metric].between(r.low, r.high), F.lit(r.name)) for r in rules]
+    judged = m.select(
+        "doc_id",
+        "m.*",
+        _base_failed(F.col("m")).alias("base_failed"),
         (F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")).alias("failed_rules"),
     )
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df`` that the rules keep, with all their columns: one pass, no join, so null or repeated ids don't matter."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    carried = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    return _judge(measure(carried), rules).filter("kept").select("row.*")
+def kept_rows(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``df`` that the rules keep, with all their columns: one filter, no join, so null or repeated ids don't matter."""
+
+    def verdict(m: Column) -> Column:
+        good = ~_base_failed(m)
+        for r in rules:
+            good = good & m[r.metric].between(r.low, r.high)
+        return good
+
+    return df.filter(let(measured(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), verdict))
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
