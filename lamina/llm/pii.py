@@ -11,12 +11,13 @@ information content of e, log2(N / n(e)). A term seen with the entity in ``MIN_D
 of that content reaches ``DISCLOSURE`` is a span wherever it stands, in all documents; from ``REMOVAL`` on it is
 removed from the text, below it is generalised.
 
-Scale. One pass over the texts writes a narrow table of spans; a second one counts the terms (distinct words per
-document, aggregated before the shuffle), a third pairs the terms with the entities of their document, a fourth finds
-the documents that hold a disclosing term. As n(t,e) is at most n(e), a share of ``DISCLOSURE`` needs
-n(t) <= n(e) (N / n(e)) ** (1 - ``DISCLOSURE``): only terms within that bound are paired, which loses none. Terms are joined
-by broadcast if they are at most ``BROADCAST_TERMS``, counted. All else are narrow tables; counts aggregate on the
-map side, so an entity in a third of all documents is no hot group.
+Scale. One pass over the texts writes the entities and words of the documents that hold any; a second one counts the
+terms (distinct words per document, aggregated before the shuffle); then terms are paired with the entities of their
+documents. As n(t,e) is at most n(e), a share of ``DISCLOSURE`` needs n(t) <= n(e) (N / n(e)) ** (1 - ``DISCLOSURE``): only
+terms within that bound are paired, which loses none. The last pass is one projection of the texts, without a join: the
+disclosing terms, if at most ``BROADCAST_TERMS`` (counted), come as a hash table from a scalar subquery. Beyond that, words are
+joined to terms and what is found to the texts, by shuffle. Counts aggregate on the map side and joins split hot keys off
+(``common.lookup``), so an entity in a third of all documents is no hot group.
 
 Defined cases. A null text counts as empty: no spans, the digest of the empty string. Rows that repeat id and text
 have the same spans and count separately as documents. Overlapping spans of different kinds are one replacement in
@@ -29,10 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import let, materialise
+from lamina.llm.common import let, lookup, materialise, tidy
 
 MIN_DOCS, DISCLOSURE, REMOVAL = 2, 0.9, 0.999
 BROADCAST_TERMS = 200_000
+#: Slots of the hash table of terms: as many as terms, at most this many.
+SLOTS = 1 << 16
 
 _PART = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Kind, pattern (same matches as the plain one), and a test that is cheap to fail.
@@ -42,7 +45,7 @@ KINDS = (
     ("card", r"[0-9](?:[ -]?[0-9])++", lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}")),
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+"))),
 )
-_BETWEEN = r"[^\p{L}\p{M}]+"
+_WORD = r"[a-zA-Z\p{L}\p{M}]{4,}+"
 #: Stands for a base span while the words are split: no letter, and no character of a text.
 _CUT = "\ufdd0"
 _SPANS = "array<struct<s:int,e:int>>"
@@ -124,74 +127,109 @@ def _cut(text: Column, cuts: Column) -> Column:
     )
 
 
-def _free_words(text: Column, spans: Column) -> Column:
-    """The distinct words, as they are written, of 4 letters or more that no base span touches."""
-    cuts = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(_CUT).alias("by"))))
-    clean = F.translate(text, _CUT, " ")
-    words = F.array_distinct(F.split(F.when(F.size(spans) > 0, _cut(clean, cuts)).otherwise(clean), rf"[^\p{{L}}\p{{M}}{_CUT}]+"))
-    return F.filter(words, lambda w: (F.length(w) >= 4) & ~F.contains(w, F.lit(_CUT)))
+def _words(text: Column) -> Column:
+    """The words of 4 letters or more."""
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
-def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table ``doc_id, key, spans, entities, words``; the key is a hash of id and text; ``words`` only where there are entities."""
-    docs = _keyed(df, id_col, text_col)
-    found = docs.withColumn("spans", base_spans(F.col("text")))
-    words = F.array_distinct(F.transform(_free_words(F.col("text"), F.col("spans")), F.lower))
-    own = F.when(F.size("spans") > 0, words).otherwise(F.array().cast("array<string>"))
-    return materialise(found.select("doc_id", "key", "spans", _entities(F.col("text"), F.col("spans")).alias("entities"), own.alias("words")), "pii-base")
+def _terms(text: Column) -> Column:
+    """The distinct words, lower-cased. Word by word only where a letter's lower case depends on its neighbours."""
+    whole = F.array_distinct(_words(F.lower(text)))
+    return F.when(F.contains(text, F.lit("\u03a3")), F.array_distinct(F.transform(_words(text), F.lower))).otherwise(whole)
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+def _free_words(text: Column, spans: Column) -> Column:
+    """The distinct words, lower-cased, that no base span touches."""
+    cuts = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(_CUT).alias("by"))))
+    words = F.regexp_extract_all(_cut(F.translate(text, _CUT, " "), cuts), F.lit(rf"[a-zA-Z\p{{L}}\p{{M}}{_CUT}]{{4,}}+"), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: ~F.contains(w, F.lit(_CUT))), F.lower))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if it has at most ``BROADCAST_TERMS`` rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+def _docs(df: DataFrame, text_col: str) -> DataFrame:
+    return df.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
-def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``term, share``: the terms that give an entity away and the largest share; ``texts`` has the column ``text`` of all documents."""
-    n = float(found.count())
+@tidy("pii")
+def disclosing(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Written table ``term, share``: the terms that give an entity away and the largest share."""
+    docs = _docs(df, text_col)
+    found = docs.withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
+    found = materialise(found.select(_entities(F.col("text"), F.col("spans")).alias("entities"), _free_words(F.col("text"), F.col("spans")).alias("words")), "base")
+    n = float(docs.count())
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     bound = F.col("n_e") * F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
     entities = entities.filter((F.col("n_e") >= MIN_DOCS) & (F.col("n_e") < n)).withColumn("most", bound)
-    entities = materialise(entities, "pii-entities")
+    entities = materialise(entities, "entities")
     most = entities.agg(F.max("most")).first()[0] or 0.0
-    counted = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), _BETWEEN))).alias("term")).filter(F.length("term") >= 4)
-    counted = counted.groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t").between(MIN_DOCS, most))
-    counted = materialise(counted, "pii-terms")
-    held = found.select(F.explode("entities").alias("entity"), "words").join(_small(entities), "entity")
-    pairs = held.select("entity", "n_e", "most", F.explode("words").alias("term")).join(_small(counted), "term").filter("n_t <= most")
+    counted = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = materialise(counted.filter(F.col("n_t").between(MIN_DOCS, most)), "terms")
+    held = materialise(lookup(materialise(found.select(F.explode("entities").alias("entity"), "words"), "held"), entities, ["entity"]).filter("n_e is not null"), "known")
+    pairs = held.select("entity", "n_e", "most", F.explode("words").alias("term"))
+    if counted.count() > BROADCAST_TERMS:
+        pairs = materialise(pairs, "pairs")
+    pairs = lookup(pairs, counted, ["term"], BROADCAST_TERMS).filter("n_t <= most")
     together = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= MIN_DOCS)
     share = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(n) / F.col("n_e"))
     judged = together.select("term", share.alias("share")).filter(F.col("share") >= DISCLOSURE)
-    return materialise(judged.groupBy("term").agg(F.max("share").alias("share")), "pii-disclosing")
+    return judged.groupBy("term").agg(F.max("share").alias("share"))
+
+
+_TOLD = "array<struct<term:string,share:double>>"
+
 
+def _slot(word: Column, slots: int) -> Column:
+    return F.pmod(F.hash(word), F.lit(slots))
 
-def _marked(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """``doc_id, key, terms``: where the terms of ``told`` stand in the documents that hold any."""
-    words = docs.select("doc_id", "key", F.explode(F.array_distinct(F.split("text", _BETWEEN))).alias("word")).withColumn("term", F.lower("word"))
-    holders = words.join(_small(told), "term").groupBy("doc_id", "key").agg(F.collect_set(F.struct("word", "share")).alias("told"))
-    holders = materialise(holders.withColumnRenamed("doc_id", "own_id").withColumnRenamed("key", "own_key"), "pii-holders")
-    own = docs.join(_small(holders), (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    any_word = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join("told.word", "|"), F.lit(r")(?![\p{L}\p{M}])"))
-    own = own.select("doc_id", "key", "text", F.map_from_entries("told").alias("told"), any_word.alias("pattern"), base_spans(F.col("text")).alias("spans"))
-    own = own.withColumn("at", places(F.col("text"), F.col("pattern"), lambda x: F.lit(True)))
-    apart = F.filter("at", lambda w: ~F.exists("spans", lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"])))
-    terms = F.transform(apart, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.element_at("told", F.substring("text", w["s"] + 1, w["e"] - w["s"])).alias("share")))
-    return own.select("doc_id", "key", terms.alias("terms")).groupBy("doc_id", "key").agg(F.first("terms").alias("terms"))
 
+def _hash_table(told: DataFrame, slots: int) -> Column:
+    """``told`` as an array of ``slots`` lists of terms, by a scalar subquery."""
+    lists = told.groupBy(_slot(F.col("term"), slots).cast("long").alias("slot")).agg(F.collect_list(F.struct("term", "share")).alias("own"))
+    every = told.sparkSession.range(slots).withColumnRenamed("id", "slot").join(lists, "slot", "left")
+    row = F.struct("slot", F.coalesce("own", F.array().cast(_TOLD)).alias("own"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["own"]).alias("table")).scalar()
 
-def all_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, key, spans, terms`` per input row; terms as ``(s, e, share)``."""
-    found = detect(df, id_col, text_col)
-    docs = _keyed(df, id_col, text_col)
-    told = disclosing(found, docs.select("text"))
-    terms = _marked(docs, told).withColumnRenamed("doc_id", "own_id").withColumnRenamed("key", "own_key")
-    joined = found.join(terms, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
-    return joined.select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,share:double>>")).alias("terms"))
+
+def _term_spans(text: Column, spans: Column, told: Column) -> Column:
+    """Where the terms of ``told`` stand in the text, outside the base spans, as ``(s, e, share)``."""
+
+    def of(own: Column) -> Column:
+        named = F.transform(own, lambda x: x["term"])
+        written = F.filter(F.array_distinct(_words(text)), lambda w: F.array_contains(named, F.lower(w)))
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join(written, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+        at = places(text, pattern, lambda x: F.lit(True))
+        apart = F.filter(at, lambda w: ~F.exists(spans, lambda b: (w["s"] < b["e"]) & (w["e"] > b["s"])))
+        share = lambda w: F.element_at(F.map_from_entries(own), F.lower(F.substring(text, w["s"] + 1, w["e"] - w["s"])))
+        return F.transform(apart, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), share(w).alias("share")))
+
+    nothing = F.array().cast("array<struct<s:int,e:int,share:double>>")
+    return let(told, lambda own: F.when(F.size(own) > 0, of(own)).otherwise(nothing))
+
+
+def with_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` as ``row``, with ``pii_text``, ``spans`` (kind number, s, e) and ``terms`` (s, e, share)."""
+    told = disclosing(df, text_col)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), text.alias("pii_text"))
+    n = told.count()
+    none = F.array().cast(_TOLD)
+    if not n:
+        own = rows.withColumn("told", none)
+    elif n <= BROADCAST_TERMS:
+        slots = min(SLOTS, max(16, n))
+
+        def held(table: Column) -> Column:
+            at = lambda w: F.get(table, _slot(w, slots))
+            return F.flatten(F.transform(F.filter(_terms(F.col("pii_text")), lambda w: F.size(at(w)) > 0), lambda w: F.filter(at(w), lambda x: x["term"] == w)))
+
+        # The analyser takes no subquery inside a lambda; the optimiser puts it there, as the column is referred to once.
+        own = rows.withColumn("table", _hash_table(told, slots)).select("row", "pii_text", let(F.col("table"), held).alias("told"))
+    else:
+        keyed = rows.withColumn("pii_key", F.xxhash64("pii_text"))
+        words = materialise(keyed.select("pii_key", F.explode(_terms(F.col("pii_text"))).alias("term")).distinct(), "pii-words")
+        holders = lookup(words, told, ["term"], 0).filter("share is not null").groupBy("pii_key").agg(F.collect_list(F.struct("term", "share")).alias("told"))
+        own = keyed.join(holders, "pii_key", "left").withColumn("told", F.coalesce("told", none))
+    spanned = own.select("row", "pii_text", "told", base_spans(F.col("pii_text")).alias("spans"))
+    return spanned.select("row", "pii_text", "spans", _term_spans(F.col("pii_text"), F.col("spans"), F.col("told")).alias("terms"))
 
 
 def _named(spans: Column) -> Column:
@@ -204,19 +242,16 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     terms = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["s"].cast("string"), x["e"].cast("string")))
     count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, (kind, _, _) in enumerate(KINDS)]
-    return all_spans(df, id_col, text_col).select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"))
+    narrow = with_spans(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    return narrow.select("row.doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"))
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The input with every span of its text replaced: base spans by ``[EMAIL]`` and the like, terms by ``[TERM]`` or nothing."""
-    found = all_spans(df, id_col, text_col).filter("size(spans) > 0 or size(terms) > 0")
     base = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(_name(x["k"])), F.lit("]")).alias("by")))
     terms = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["share"] >= REMOVAL, "").otherwise("[TERM]").alias("by")))
-    cuts = materialise(found.groupBy("doc_id", "key").agg(F.first(F.array_sort(F.concat(base, terms))).alias("pii_cuts")), "pii-cuts")
-    cuts = cuts.withColumnRenamed("doc_id", "pii_id").withColumnRenamed("key", "pii_key")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    key = F.xxhash64(F.col(f"`{id_col}`"), text)
-    joined = df.join(cuts, (key == F.col("pii_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("pii_id")), "left")
-    cut = _cut(text, F.col("pii_cuts"))
-    clean = F.when(F.col("pii_cuts").isNull(), F.col(f"`{text_col}`")).otherwise(cut)
-    return joined.withColumn(text_col, clean).select(*(F.col(f"`{c}`") for c in df.columns))
+    cuts = F.array_sort(F.concat(base, terms))
+    found = with_spans(df, text_col).select("row", "pii_text", cuts.alias("pii_cuts"))
+    kept = F.col("row").getField(text_col)
+    clean = F.when(F.size("pii_cuts") == 0, kept.cast("string")).otherwise(_cut(F.col("pii_text"), F.col("pii_cuts")))
+    return found.select(*(clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns))
