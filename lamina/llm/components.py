@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialise
+from lamina.llm.common import lookup, materialise
 
 _SCHEMA = "node bigint, root bigint"
+#: Roots up to this many (counted) are looked up by broadcast.
+BROADCAST_ROOTS = 100_000
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,6 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
         chained = now.select(F.col("root").alias("node")).join(now.select("node"), "node", "left_semi")
         if conflict.unionByName(chained).isEmpty():
             return now
-        up = above.select(F.col("node").alias("root"), "above")
-        moved = now.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-        now = moved.unionByName(now.join(up, "root").select(F.col("root").alias("node"), F.col("above").alias("root"))).filter("node <> root")
+        up = materialise(above.select(F.col("node").alias("root"), "above"), "above")
+        moved = materialise(lookup(now, up, ["root"], BROADCAST_ROOTS), "moved")  # a giant component's root is a hot key
+        links = moved.filter("above is not null").select(F.col("root").alias("node"), F.col("above").alias("root")).distinct()
+        now = moved.select("node", F.coalesce("above", "root").alias("root")).unionByName(links).filter("node <> root")
