@@ -1,22 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Every document is cut into cells of ``CELL`` words; a passage is two neighbouring cells. Terms are the words of the
-benchmark, weighted by inverse cell frequency; words in more than ``MAX_SHARE`` of the cells carry no weight. A
-randomised decomposition of the term covariance of all cells (one pass: the sketch G W of G = A'A with a thin
-random W, then Nystroem) gives ``RANK`` latent directions; benchmark items enter G with the weight of the corpus, so
-that the directions tell items apart. A passage is a candidate for the items its latent vector has a cosine of
-``COSINE`` or more with, and is then checked on the words: the longest common subsequence of the item and a stretch of
-twice its length in the cells around must cover ``COMMON`` of the item, or ``COMMON_WITH_ANSWER`` if the item's last
-``ANSWER`` words, its answer, stand there side by side too. What the cosine leaves out is found by counting words (``Exact``):
-every stretch that may pass the check on the words is checked, so recall hangs on no cosine, rank or weight.
+benchmark, weighted by inverse cell frequency, which no term loses wholly but one in all cells. A randomised decomposition
+of the term covariance of all cells (one pass: the sketch G W of G = A'A with a thin random W, then Nystroem) gives ``RANK``
+latent directions; benchmark items enter G with the weight of the corpus, so that the directions tell items apart. A
+passage is a candidate for the items its latent vector has a cosine of ``COSINE`` or more with. Candidates around which
+too few of the item's words stand are dropped at once, the others are checked on the words: the longest common
+subsequence of the item and a stretch of twice its length in the cells around must cover ``COMMON`` of the item, or
+``COMMON_WITH_ANSWER`` if the item's last ``ANSWER`` words, its answer, stand there side by side too. Pairs that the latent
+search doesn't settle are then looked for by counting words (``Exact``): every stretch that may pass the check on the
+words is checked, so recall hangs on no cosine, rank or weight.
 
 Scale. The texts are read once and written as numbers of benchmark words. Both corpus passes map over that table
 and add up fixed-size arrays (terms x 1, terms x ``RANK`` + ``OVER``), summed in a tree, so the driver receives one
 array of a size that the benchmark sets. The benchmark is the query set: it is read in blocks of ``BLOCK`` items,
 each with its own directions, against all rows.
 
-Defined cases. Null or empty texts have no cells and no row. Null or empty items, and items of fewer than
-``MIN_ITEM`` words, match nothing. An empty benchmark or document table gives an empty result. A row per document id and item
+Defined cases. Null or empty texts have no cells and no row. Null or empty items match nothing; items of fewer than
+``MIN_ITEM`` words match only as a whole, their words side by side. An empty benchmark or document table gives an empty result. A row per document id and item
 (repeated rows: the best match); other columns of the input are left out.
 """
 
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import id_text, materialise
+from lamina.llm.common import id_text, materialise, tidy
 
-CELL, RANK, OVER, MAX_SHARE = 24, 64, 16, 0.02
-COSINE, COMMON, COMMON_WITH_ANSWER, ANSWER, MIN_ITEM = 0.5, 0.7, 0.5, 5, 5
+CELL, RANK, OVER = 24, 128, 16
+COSINE, COMMON, COMMON_WITH_ANSWER, ANSWER, MIN_ITEM = 0.4, 0.7, 0.5, 5, 5
 BLOCK, MERGERS = 512, 16
 _ITEM_WEIGHT = 1.0
 #: For the choice of the words that the exact search counts: how much more often words come where their like stand, the cost
@@ -48,7 +49,7 @@ def words(text: str) -> list[bytes]:
 
 
 def encode(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """``doc_id, ids``: the vocabulary's number of every word (-1: not in it) as packed 32-bit integers; only documents with any."""
+    """``doc_id, ids``: the vocabulary's number of every word (-1: not in it) as packed 32-bit integers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +114,25 @@ def _sum_arrays(encoded: DataFrame, shape: tuple[int, ...], add: Callable[[np.nd
     return np.frombuffer(rows[0]["part"]).reshape(shape) if rows else np.zeros(shape)
 
 
-def _grouped_sums(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows by ascending group number: the groups, their sums."""
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    return group[first], np.add.reduceat(values, first, axis=0)
+def _padded(ids: np.ndarray, at: np.ndarray, n_terms: int) -> np.ndarray:
+    """Cells x ``CELL``: the words' numbers, ``n_terms`` for what is none of the terms."""
+    cell, first = cells(ids, at)
+    out = np.full((first[-1], CELL), n_terms, np.int32)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    out[cell, (np.arange(len(ids)) - at[row]) % CELL] = np.where(ids < 0, n_terms, ids)
+    return out
+
+
+def _cell_sums(rows: np.ndarray, padded: np.ndarray) -> np.ndarray:
+    """Sum of the words' ``rows`` (one more at the end, of zeros) by cell."""
+    total = rows[padded[:, 0]]
+    for k in range(1, CELL):
+        total += rows[padded[:, k]]
+    return total
+
+
+def _with_zeros(rows: np.ndarray) -> np.ndarray:
+    return np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
 
 
 def directions(encoded: DataFrame, items: list[np.ndarray], n_terms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,25 +147,24 @@ def directions(encoded: DataFrame, items: list[np.ndarray], n_terms: int) -> tup
 
     counted = _sum_arrays(encoded, (n_terms + 1,), count)
     n = max(counted[n_terms], 1.0)
-    weight = np.where(counted[:n_terms] > MAX_SHARE * n, 0.0, np.log((1.0 + n) / (1.0 + counted[:n_terms])))
+    weight = np.log((1.0 + n) / (1.0 + counted[:n_terms]))
     rng = np.random.default_rng(31)
     width = min(RANK + OVER, n_terms)
     thin = np.linalg.qr(rng.normal(size=(n_terms, width)))[0]
-    weighted = (weight[:, None] * thin).astype(np.float32)
+    weighted = _with_zeros((weight[:, None] * thin).astype(np.float32))
 
     def sketch(total: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
-        cell, _ = cells(ids, at)
-        known = ids >= 0
-        known[known] = weight[ids[known]] > 0
-        ids, cell = ids[known], cell[known]
-        if not len(ids):
+        padded = _padded(ids, at, n_terms)
+        z, flat = _cell_sums(weighted, padded), padded.ravel()
+        order = np.argsort(flat, kind="stable")
+        order = order[: len(flat) - int(np.count_nonzero(flat == n_terms))]
+        if not len(order):
             return
-        _, z = _grouped_sums(weighted[ids], cell)
-        place = np.cumsum(np.append(0, cell[1:] != cell[:-1]))
-        order = np.argsort(ids, kind="stable")
-        terms, sums = _grouped_sums(z[place[order]], ids[order])
-        total[terms, :width] += weight[terms, None] * sums
-        total[0, width] += float((weight[ids] ** 2).sum())
+        terms, first = np.unique(flat[order], return_index=True)
+        of = order // CELL
+        for t, a, b in zip(terms.tolist(), first.tolist(), [*first[1:].tolist(), len(of)], strict=True):
+            total[t, :width] += weight[t] * z[of[a:b]].sum(axis=0)
+        total[0, width] += float((weight[flat[order]] ** 2).sum())
 
     summed = _sum_arrays(encoded, (n_terms, width + 1), sketch)
     g, energy = summed[:, :width].copy(), max(summed[0, width], 1e-9)
@@ -168,12 +183,15 @@ def directions(encoded: DataFrame, items: list[np.ndarray], n_terms: int) -> tup
 
 def common_length(masks: dict[int, int], size: int, other: list[int]) -> int:
     """Longest common subsequence, bit-parallel; ``masks`` has the places of each word in the item."""
+    return _common(size, [masks[w] for w in other if w in masks])
+
+
+def _common(size: int, places: list[int]) -> int:
     full = (1 << size) - 1
     v = full
-    for w in other:
-        if (m := masks.get(w)) is not None:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in places:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return size - v.bit_count()
 
 
@@ -185,14 +203,15 @@ def _stands_in(answer: list[int], other: list[int]) -> bool:
 def _compact_share(masks: dict[int, int], size: int, window: list[int]) -> float:
     """Share of the item that is common with a stretch of at most twice its length."""
     best = 0
+    places = [masks.get(w, 0) for w in window]
     for k in range(0, len(window), 2 * size):
-        near = window[k : k + 4 * size]  # holds the stretches that start in the first half
-        most = common_length(masks, size, near)
-        if most <= best or most < COMMON_WITH_ANSWER * size:
+        near = places[k : k + 4 * size]  # holds the stretches that start in the first half
+        telling = [m for m in near if m]
+        if len(telling) <= best or (most := _common(size, telling)) <= best or most < COMMON_WITH_ANSWER * size:
             continue
         for j in range(min(2 * size, len(near))):
-            if near[j] in masks:
-                best = max(best, common_length(masks, size, near[j : j + 2 * size]))
+            if near[j]:
+                best = max(best, _common(size, [m for m in near[j : j + 2 * size] if m]))
                 if best == most:
                     break
     return best / size
@@ -215,13 +234,15 @@ class Exact:
 
     def __init__(self, items: list[np.ndarray], shares: np.ndarray) -> None:
         self.items = [i.tolist() for i in items]
+        self.short = np.array([len(i) < MIN_ITEM for i in items])
         self.size = np.array([len(i) for i in items])
         self.masks = [_masks(i) for i in self.items]
         self.reach = (2 * -(-int(self.size.max()) // CELL) + 2) * CELL
         pairs, self.need = [], np.zeros(len(items), np.int64)
         for q, item in enumerate(items):
-            chosen, self.need[q] = self._rarest(item, shares)
-            pairs += [(w, q) for w in chosen]
+            if not self.short[q]:
+                chosen, self.need[q] = self._rarest(item, shares)
+                pairs += [(w, q) for w in chosen]
         pairs.sort()
         self.owner = np.array([q for _, q in pairs], np.int64)
         self.count = np.bincount([w for w, _ in pairs], minlength=len(shares))
@@ -229,7 +250,8 @@ class Exact:
         self.answers: dict[bytes, list[int]] = {}
         for q, item in enumerate(items):
             self.answers.setdefault(item[-ANSWER:].astype(np.int32).tobytes(), []).append(q)
-        self.hashes = np.array([self._hash(np.frombuffer(a, np.int32), np.array([ANSWER - 1]))[0] for a in self.answers])
+        ends = [np.frombuffer(a, np.int32) for a in self.answers]
+        self.hashes = {n: np.array([self._hash(a, np.array([n - 1]), n)[0] for a in ends if len(a) == n]) for n in {len(a) for a in ends}}
         self.ends = np.zeros(len(shares), bool)
         self.ends[[i[-1] for i in self.items]] = True
 
@@ -250,9 +272,10 @@ class Exact:
         return set(order[: best[1]]), best[2]
 
     @staticmethod
-    def _hash(ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def _hash(ids: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+        """Of the ``n`` words up to each place."""
         h = np.zeros(len(last), np.uint64)
-        for k in range(ANSWER - 1, -1, -1):
+        for k in range(n - 1, -1, -1):
             h = h * np.uint64(0x9E3779B97F4A7C15) + ids[last - k].astype(np.uint64)
         return h
 
@@ -293,19 +316,19 @@ class Exact:
 
     def _answers(self, ids: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Row, item and last place of every answer that stands in a text."""
-        last = np.flatnonzero(ids >= 0)
-        last = last[self.ends[ids[last]]]
-        row = np.searchsorted(at, last, side="right") - 1
-        inside = last - (ANSWER - 1) >= at[row]
-        last, row = last[inside], row[inside]
-        same = np.isin(self._hash(ids, last), self.hashes)
-        for p, r in zip(last[same].tolist(), row[same].tolist(), strict=True):
-            for q in self.answers.get(ids[p - ANSWER + 1 : p + 1].tobytes(), ()):
-                yield r, q, p
-
-    def pairs(self, ids: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[float, bool]]:
-        """By row and item: the best share in common, and whether the answer stands near."""
-        out: dict[tuple[int, int], tuple[float, bool]] = {}
+        every = np.flatnonzero(ids >= 0)
+        every = every[self.ends[ids[every]]]
+        rows = np.searchsorted(at, every, side="right") - 1
+        for n, hashes in self.hashes.items():
+            inside = every - (n - 1) >= at[rows]
+            last, row = every[inside], rows[inside]
+            same = np.isin(self._hash(ids, last, n), hashes)
+            for p, r in zip(last[same].tolist(), row[same].tolist(), strict=True):
+                for q in self.answers.get(ids[p - n + 1 : p + 1].tobytes(), ()):
+                    yield r, q, p
+
+    def complete(self, out: dict[tuple[int, int], tuple[float, bool]], ids: np.ndarray, at: np.ndarray) -> None:
+        """Add what is missing in ``out``: by row and item the best share in common, and whether the answer stands near."""
 
         def check(row: int, q: int, a: int, b: int, least: float, answer: bool) -> None:
             before = out.get((row, q), (0.0, False))
@@ -316,67 +339,90 @@ class Exact:
                 out[row, q] = max(before[0], share), before[1] or answer
 
         for row, q, p in self._answers(ids, at):
-            check(row, q, p + 1 - self.reach, p - ANSWER + 1 + self.reach, COMMON_WITH_ANSWER, True)
+            if self.short[q]:
+                out[row, q] = 1.0, True
+            else:
+                check(row, q, p + 1 - self.reach, p - ANSWER + 1 + self.reach, COMMON_WITH_ANSWER, True)
         for row, q, first, last in self._stretches(ids, at, 0, len(at) - 1):
             check(row, q, first, last + 2 * int(self.size[q]), COMMON, False)
+
+
+class Latent:
+    """Candidates by cosine, checked on the words."""
+
+    def __init__(self, exact: Exact, projection: np.ndarray, cosine: float) -> None:
+        self.exact, self.rows, self.cosine = exact, _with_zeros(projection), cosine
+        latent = np.array([projection[i].sum(axis=0) for i in exact.items])
+        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        self.around = max(1, -(-int(exact.size.max()) // CELL))
+        self.words = np.full((len(exact.items), int(exact.size.max())), len(projection), np.int64)
+        for own, item in zip(self.words, exact.items, strict=True):
+            own[: len(item)] = item
+        self.least = np.ceil(COMMON_WITH_ANSWER * exact.size - 1e-9).astype(np.int64)
+
+    def passages(self, padded: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Latent vectors of unit length, one for each cell with the next one of its row (or zeros)."""
+        full = np.vstack([_cell_sums(self.rows, padded), np.zeros((1, self.rows.shape[1]), np.float32)])
+        last = np.zeros(len(padded) + 1, bool)
+        last[first[1:] - 1] = True
+        out = full[:-1] + np.where(last[:-1, None], 0, full[1:])
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    def _candidates(self, passage: np.ndarray, padded: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Row, cell and item; where those left out stand, too few of the item's words occur for any subsequence."""
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for k in range(0, len(passage), 8192):
+            p, q = np.nonzero(passage[k : k + 8192] @ self.latent.T >= self.cosine)
+            p, q = (p + k)[~self.exact.short[q]], q[~self.exact.short[q]]
+            good = np.zeros(len(p), bool)
+            for j in range(0, len(p), 1024):
+                some, item = p[j : j + 1024], q[j : j + 1024]
+                there = np.zeros((len(some), len(self.rows)), bool)
+                for d in range(-self.around, self.around + 2):
+                    c = some + d
+                    inside = np.flatnonzero((c >= first[row[some]]) & (c < first[row[some] + 1]))
+                    there[inside[:, None], padded[c[inside]]] = True
+                there[:, -1] = False
+                good[j : j + 1024] = there[np.arange(len(some))[:, None], self.words[item]].sum(axis=1) >= self.least[item]
+            yield from zip(row[p[good]].tolist(), p[good].tolist(), q[good].tolist(), strict=True)
+
+    def pairs(self, passage: np.ndarray, padded: np.ndarray, first: np.ndarray, ids: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[float, bool]]:
+        """By row and item: the best share in common, and whether the answer stands near."""
+        out: dict[tuple[int, int], tuple[float, bool]] = {}
+        for row, c, q in self._candidates(passage, padded, first):
+            before = out.get((row, q), (0.0, False))
+            if before == (1.0, True):
+                continue
+            a = at[row] + max(0, c - first[row] - self.around) * CELL
+            window = ids[a : min(at[row + 1], at[row] + (c - first[row] + 2 + self.around) * CELL)].tolist()
+            share = _compact_share(self.exact.masks[q], int(self.exact.size[q]), window)
+            if share >= COMMON_WITH_ANSWER:
+                answer = _stands_in(self.exact.items[q][-ANSWER:], window)
+                if share >= COMMON or answer:
+                    out[row, q] = max(before[0], share), before[1] or answer
         return out
 
 
 def _search(encoded: DataFrame, block: list[tuple[object, np.ndarray]], projection: np.ndarray, shares: np.ndarray, item_kind: str, cosine: float) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    latent = np.array([projection[i].sum(axis=0) for _, i in block])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     exact = Exact([i for _, i in block], shares)
-    masks = exact.masks
-    telling = np.abs(projection).sum(axis=1) > 0
-    longest = max(len(i) for _, i in block)
-    around = max(1, -(-longest // CELL))
+    near = Latent(exact, projection, cosine)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for start, _, ids, at in _slices(batch):
-                cell, first = cells(ids, at)
-                found = exact.pairs(ids, at)
-                known = ids >= 0
-                known[known] = telling[ids[known]]
-                if not known.any() and not found:
-                    continue
-                full = np.zeros((first[-1] + 1, projection.shape[1]), np.float32)
-                if known.any():
-                    own, sums = _grouped_sums(projection[ids[known]], cell[known])
-                    full[own] = sums
-                last = np.zeros(first[-1] + 1, bool)
-                last[first[1:] - 1] = True
-                passage = full[:-1] + np.where(last[:-1, None], 0, full[1:])
-                norm = np.linalg.norm(passage, axis=1)
-                some, sure = np.flatnonzero(norm > 1e-9), set(found)
+                padded, first = _padded(ids, at, len(projection)), cells(ids, at)[1]
+                passage = near.passages(padded, first)
+                found = near.pairs(passage, padded, first, ids, at)
+                exact.complete(found, ids, at)
                 for (row, q), (share, answer) in found.items():
-                    c = slice(first[row], first[row + 1])
-                    best = float((passage[c] @ latent[q] / np.maximum(norm[c], 1e-9)).max())
+                    best = float((passage[first[row] : first[row + 1]] @ near.latent[q]).max())
                     out.append((start + row, block[q][0], best, share, answer))
-                for k in range(0, len(some), 8192):
-                    rows = some[k : k + 8192]
-                    near = (passage[rows] @ latent.T) >= cosine * norm[rows, None]
-                    for p, q in zip(*np.nonzero(near), strict=True):
-                        c = rows[p]
-                        row = int(np.searchsorted(first, c, side="right")) - 1
-                        if (row, q) in sure:
-                            continue
-                        a = at[row] + max(0, c - first[row] - around) * CELL
-                        b = min(at[row + 1], at[row] + (c - first[row] + 2 + around) * CELL)
-                        item_id, item = block[q]
-                        window = ids[a:b].tolist()
-                        share = _compact_share(masks[q], len(item), window)
-                        if share >= COMMON_WITH_ANSWER:
-                            answer = _stands_in(item[-ANSWER:].tolist(), window)
-                            if share >= COMMON or answer:
-                                sure.add((row, q))
-                                out.append((start + row, item_id, float(passage[c] @ latent[q] / norm[c]), share, answer))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            arrays = [batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c) if c else pa.nulls(0) for c in columns[1:2])]
-            arrays += [pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.bool_())]
             if out:
+                columns = list(zip(*out, strict=True))
+                arrays = [batch.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1])]
+                arrays += [pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "cosine", "common", "answer"])
 
     return encoded.mapInArrow(run, _RESULT.format(kind, item_kind))
@@ -387,7 +433,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     block: list[tuple[object, list[bytes]]] = []
     for row in benchmark.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).dropna().orderBy("i", "t").toLocalIterator():
         item = words(row["t"])
-        if len(item) >= MIN_ITEM:
+        if item:
             block.append((row["i"], item))
         if len(block) == BLOCK:
             yield block
@@ -396,6 +442,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+@tidy("decontaminate")
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE) -> DataFrame:
     """``doc_id, item_id, cosine, common, answer``: documents and the benchmark items that they hold."""
     docs = id_text(df, id_col, text_col)
@@ -404,10 +451,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for block in _blocks(benchmark, item_col, item_text_col):
         vocabulary = {w: k for k, w in enumerate(sorted({w for _, item in block for w in item}))}
         items = [np.array([vocabulary[w] for w in item], np.int64) for _, item in block]
-        encoded = materialise(encode(docs, vocabulary), "decontaminate-encoded")
+        encoded = materialise(encode(docs, vocabulary), "encoded")
         projection, shares = directions(encoded, items, len(vocabulary))
         hits = _search(encoded, [(i, x) for (i, _), x in zip(block, items, strict=True)], projection, shares, item_kind, cosine)
-        hits = materialise(hits, "decontaminate-hits")
+        hits = materialise(hits, "hits")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         kind = docs.schema["doc_id"].dataType.simpleString()
