@@ -41,7 +41,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,10 +32,10 @@ from urllib.parse import quote
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialise, scratch
+from lamina.llm.common import materialise, scratch, tidy
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
@@ -221,7 +221,8 @@ def read_archives(index: DataFrame) -> DataFrame:
                         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                     )
 
-    bundles = index.select("bundle").distinct()
+    bundles = materialise(index.select("bundle").distinct(), "bundles")
+    bundles = bundles.repartitionByRange(max(1, bundles.count()), "bundle")  # a stated number, which adaptive execution leaves alone
     return bundles.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
@@ -246,5 +247,7 @@ def read_records(wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "record_id string, record binary")
 
 
-def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
+@tidy("archives")
+def round_trip(pages: DataFrame) -> DataFrame:
+    """Write the archives and read them back; they are deleted when the result is a table."""
     return read_archives(write_archives(pages))

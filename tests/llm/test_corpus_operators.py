@@ -17,11 +17,11 @@ def words(rng, n):
     return ["".join(rng.choices("abcdefgh", k=4)) for _ in range(n)]
 
 
-def plain_components(docs):
+def plain_components(docs, size=3, percent=85):
     sets = {}
     for i, t in docs:
         w = (t or "").lower().split()
-        sets[i] = {tuple(w)} if 0 < len(w) < 3 else set(zip(w, w[1:], w[2:]))
+        sets[i] = {tuple(w)} if 0 < len(w) < size else set(zip(*(w[k:] for k in range(size))))
     root = {i: i for i in sets}
 
     def find(x):
@@ -32,7 +32,7 @@ def plain_components(docs):
     for a in sets:
         for b in sets:
             common = len(sets[a] & sets[b])
-            if a < b and sets[a] and sets[b] and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+            if a < b and sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -69,6 +69,29 @@ def test_open_buckets_in_blocks(spark, monkeypatch):
     assert got == plain_components(docs)
 
 
+def test_hot_classes_blocks_and_a_chain(spark, monkeypatch):
+    """Thousands of exact copies and of empty texts, a chain of neighbours, and roots that are looked up by shuffle."""
+    from lamina.llm import common, components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 50)
+    monkeypatch.setattr(components, "BROADCAST_ROOTS", 0)
+    rng = random.Random(12)
+    copy = " ".join(words(rng, 40))
+    docs = [(i, copy) for i in range(0, 20000, 2)] + [(i, None if i % 3 else " ") for i in range(1, 20001, 2)]
+    chain = words(rng, 300)
+    start = len(docs)
+    for i in range(60):
+        chain[5 * i : 5 * i + 5] = words(rng, 5)
+        docs.append((30000 + i, " ".join(chain)))
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    plain = plain_components(docs[start:])
+    for i, t in docs:
+        root = 0 if t == copy else i if not (t or "").split() else plain[i][1]
+        assert got[i] == (root, i == root)
+    assert len({root for _, root in plain.values()}) < 60
+
+
 def test_repeated_and_null_ids(spark):
     text, other = " ".join(words(random.Random(1), 30)), " ".join(words(random.Random(2), 30))
     rows = [(5, text), (5, text), (7, text), (None, text), (None, other), (5, other), (9, other)]
@@ -159,7 +182,7 @@ def test_subsequence():
 def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "FRAME_BYTES", 300)
     rows = [(1, "http://a/ü x", "<p>one</p>", 0), (2, None, None, 0), (3, "http://b", "", 0), (4, "http://c", "<p>one</p>", 0), (5, "http://d", "é" * 2000, 0), (4, "http://c", "<p>one</p>", 0)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int").repartition(3)
     index = warc.write_archives(pages)
     got = sorted(map(tuple, warc.read_archives(index).collect()), key=str)
     digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
@@ -169,7 +192,10 @@ def test_archives_round_trip(spark, monkeypatch):
     record = warc.read_records(index.filter("page_id = 5")).collect()[0].record
     head, block = next(warc.parse_records(bytes(record)))
     assert head["X-Page-Id"] == "5" and block.endswith(("é" * 2000).encode())
-    assert warc.round_trip(spark, pages.limit(0)).count() == 0
+    bundles = index.select("bundle").distinct().count()
+    assert bundles > 1 and warc.read_archives(index).rdd.getNumPartitions() == bundles
+    assert sorted(map(tuple, warc.round_trip(pages).collect()), key=str) == got
+    assert warc.round_trip(pages.limit(0)).count() == 0
 
 
 def test_pipeline_against_plain_stages(spark):
@@ -183,7 +209,7 @@ def test_pipeline_against_plain_stages(spark):
         assert docs.columns == columns
         known.append({r.doc_id: r.text for r in docs.collect()})
     quality, dedup, clean, private = known
-    groups = plain_components(sorted(quality.items()))
+    groups = plain_components(sorted(quality.items()), corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
     assert set(dedup) == {i for i, (_, root) in groups.items() if root == i}
     items = [decontaminate.words(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     holds = lambda t: any(b" " + b" ".join(i) + b" " in b" " + b" ".join(decontaminate.words(t)) + b" " for i in items)
