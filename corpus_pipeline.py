@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import bpe, decontaminate, near_dedup, pii, quality_rules
-from lamina.llm.common import materialise, ship, table
+from lamina.llm.common import materialise, ship, table, tidy
 
 #: Ids up to this many (counted) are broadcast to filter by, more are joined by shuffle.
 BROADCAST_IDS = 500_000
+SHINGLE, PERCENT = 5, 80
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` but those whose id is in ``dropped``; rows with a null id can't be named and stay."""
-    ids = materialise(dropped.select("doc_id").dropna().distinct(), "dropped")
+    """``docs`` but those whose id is in ``dropped``, a written table; rows with a null id can't be named and stay."""
+    ids = dropped.select("doc_id").dropna().distinct()
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -28,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
+    """One document of each group stays, that of the smallest id: groups of five-word shingles, similarity 0.8 or more."""
     ship(spark)
-    return _without(docs, near_dedup.near_duplicates(docs).filter("not kept"))
+    return _without(docs, near_dedup.near_duplicates(docs, size=SHINGLE, percent=PERCENT).filter("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +52,18 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("dedup", dedup), ("decontamination", decontamination), ("privacy", privacy), ("encoding", encoding)]
-#: Latent retrieval and mutual information have no SQL form; tests/llm/test_pipeline.py holds the stages against plain versions.
+#: Latent retrieval and mutual information have no SQL form; tests/llm/test_corpus_operators.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    docs = table(spark, sf_dir, "documents")
+@tidy("pipeline")
+def _run(docs: DataFrame, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialise(stage(docs.sparkSession, docs, sf_dir), name)
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; only the last one's table stays in the shared folder."""
+    ship(spark)
+    return _run(table(spark, sf_dir, "documents"), sf_dir)
