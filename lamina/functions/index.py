@@ -22,11 +22,15 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Weights by term. Frequencies meet the postings by term; terms of very many documents, at most 1000 by their definition, come by broadcast."""
     terms = docs.select(key, F.explode(F.split(text, " ")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    weight = F.col("tf") * F.log(F.col("n") / F.col("df"))
-    return terms.join(frequency, "term").crossJoin(F.broadcast(n)).select(key, "term", weight.alias("weight"))  # one row
+    terms = written(terms, "postings")
+    frequency = written(terms.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    n = docs.count()
+    least = max(10_000, terms.count() // 1000)
+    hot = F.broadcast(frequency.filter(F.col("df") >= least))
+    met = terms.join(hot, "term").unionByName(terms.join(hot.select("term"), "term", "left_anti").join(frequency.filter(F.col("df") < least), "term"))
+    return met.select(key, "term", (F.col("tf") * F.log(F.lit(n) / F.col("df"))).alias("weight"))
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
@@ -78,7 +82,12 @@ def zone_map(df: DataFrame, zone: Column, column: str) -> DataFrame:
     return df.groupBy(zone.alias("zone")).agg(F.min(column).alias("low"), F.max(column).alias("high"))
 
 
-_HASHES = 7
+_HASHES, _BITS_A_KEY = 7, 10
+
+
+def bloom_bits(keys: int) -> int:
+    """Bits for so many keys, a whole number of words; 7 hashes and 10 bits a key let about 1 % of absent keys pass."""
+    return 64 * max(1, -(-keys * _BITS_A_KEY // 64))
 
 
 def _bits(column: str, bits: int) -> Column:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; in a local one only if it is unset."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names. Only a local master gets a folder of its own if it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         folder = "file://" + tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"

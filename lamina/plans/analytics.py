@@ -102,20 +102,26 @@ def zone_map_prune(spark, d):
     return zones.withColumn("must_read", c("high") >= 490000)
 
 
-@register("bloom_no_false_negative", "SELECT 0::BIGINT AS missed")
-def bloom_no_false_negative(spark, d):
-    o = table(spark, d, "orders")
-    bloom = index.bloom_filter(o, "o_orderkey", 1 << 18)
-    return index.may_contain(o, "o_orderkey", bloom, 1 << 18).agg(F.count_if(~c("maybe")).alias("missed"))
+@register("bloom_filter", "SELECT count(*) AS members, 0::BIGINT AS missed, true AS few_false FROM orders")
+def bloom_filter(spark, d):
+    """Every key is found; of as many absent keys at most 2 % pass (10 bits a key: about 1 %)."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    bits = index.bloom_bits(o.count())
+    bloom = index.bloom_filter(o, "o_orderkey", bits)
+    absent = o.select((-c("o_orderkey") - 1).alias("o_orderkey"))
+    both = o.withColumn("member", F.lit(True)).unionByName(absent.withColumn("member", F.lit(False)))
+    tested = index.may_contain(both, "o_orderkey", bloom, bits)
+    passed = F.count_if(~c("member") & c("maybe")) <= 0.02 * F.count_if(~c("member"))
+    return tested.agg(F.count_if("member").alias("members"), F.count_if(c("member") & ~c("maybe")).alias("missed"), passed.alias("few_false"))
 
 
-# transactions: a user's events are a transaction's operations on the object event_id % 40
-_OPS = "(SELECT user_id AS txn, event_id AS at, event_id % 40 AS obj, event_type IN ('purchase', 'signup') AS writes FROM events WHERE event_id < 1500)"
+# transactions: a user's events are a transaction's operations; 16 events in a row meet on one object
+_OPS = "(SELECT user_id AS txn, event_id AS at, event_id // 16 AS obj, event_type IN ('purchase', 'signup') AS writes FROM events)"
 
 
 def _ops(spark, d) -> DataFrame:
-    e = table(spark, d, "events").filter("event_id < 1500")
-    return e.select(c("user_id").alias("txn"), c("event_id").alias("at"), (c("event_id") % 40).alias("obj"), c("event_type").isin("purchase", "signup").alias("writes"))
+    e = table(spark, d, "events")
+    return e.select(c("user_id").alias("txn"), c("event_id").alias("at"), F.floor(c("event_id") / 16).alias("obj"), c("event_type").isin("purchase", "signup").alias("writes"))
 
 
 @register("conflict_pairs", f"SELECT a.obj, a.at AS first, b.at AS second, CASE WHEN a.writes AND b.writes THEN 'WW' WHEN a.writes THEN 'WR' ELSE 'RW' END AS kind FROM {_OPS} a JOIN {_OPS} b ON a.obj = b.obj AND a.at < b.at AND a.txn <> b.txn AND (a.writes OR b.writes)")
@@ -128,14 +134,36 @@ def precedence_edges(spark, d):
     return txn.precedence(_ops(spark, d))
 
 
-_FEW = "(SELECT src, dst FROM (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM (SELECT * FROM events WHERE event_id < 400) a JOIN (SELECT * FROM events WHERE event_id < 400) b ON a.event_id % 97 = b.event_id % 97 AND a.event_id < b.event_id AND a.user_id <> b.user_id))"
+# a user's events among 32 in a row are one transaction, on four objects
+_SHORT = "(SELECT event_id // 32 * 1000000 + user_id AS txn, event_id AS at, event_id // 32 * 4 + event_id % 4 AS obj, event_type IN ('purchase', 'signup') AS writes FROM events)"
+
+
+def _short(spark, d) -> DataFrame:
+    epoch = F.floor(c("event_id") / 32)
+    e = table(spark, d, "events")
+    return e.select((epoch * 1000000 + c("user_id")).alias("txn"), c("event_id").alias("at"), (epoch * 4 + c("event_id") % 4).alias("obj"), c("event_type").isin("purchase", "signup").alias("writes"))
+
+
+_CYCLES = "WITH RECURSIVE e AS ({0}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS txn FROM r WHERE src = dst"
 
 
-@register("precedence_cycle", f"WITH RECURSIVE e AS (SELECT * FROM {_FEW}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS txn FROM r WHERE src = dst")
+@register("precedence_cycle", _CYCLES.format(f"SELECT DISTINCT a.txn AS src, b.txn AS dst FROM {_SHORT} a JOIN {_SHORT} b ON a.obj = b.obj AND a.at < b.at AND a.txn <> b.txn AND (a.writes OR b.writes)"))
 def precedence_cycle(spark, d):
-    e = table(spark, d, "events").filter("event_id < 400")
-    ops = e.select(c("user_id").alias("txn"), c("event_id").alias("at"), (c("event_id") % 97).alias("obj"), F.lit(True).alias("writes"))
-    return txn.on_cycles(txn.precedence(ops))
+    return txn.on_cycles(txn.precedence(_short(spark, d)))
+
+
+_WAITS = f"(SELECT DISTINCT o.txn AS requester, h.txn AS holder FROM {_SHORT} o JOIN (SELECT obj, min_by(txn, x.at) AS txn, min(x.at) AS since FROM {_SHORT} x WHERE writes GROUP BY obj) h ON o.obj = h.obj AND o.at > h.since AND o.txn <> h.txn WHERE o.writes)"
+
+
+@register("deadlocked", _CYCLES.format(f"SELECT requester AS src, holder AS dst FROM {_WAITS}"))
+def deadlocked(spark, d):
+    """Transactions on a cycle of the wait-for graph; the first writer of an object holds its lock to the end."""
+    return txn.on_cycles(txn.waits(_short(spark, d)).select(c("requester").alias("src"), c("holder").alias("dst")))
+
+
+@register("lock_prevention", f"SELECT requester, holder, CASE WHEN requester < holder THEN 'wait' ELSE 'die' END AS wait_die, CASE WHEN requester < holder THEN 'wound' ELSE 'wait' END AS wound_wait FROM {_WAITS}")
+def lock_prevention(spark, d):
+    return txn.prevention(txn.waits(_short(spark, d)))
 
 
 _TX = "(SELECT user_id AS txn, event_id // 500 AS epoch, min(event_id) AS begin_at, max(event_id) AS commit_at FROM events GROUP BY 1, 2)"
@@ -155,7 +183,40 @@ def occ_validate(spark, d):
     return txn.backward_validation(_ops(spark, d), 2)
 
 
-@register("to_write_check", f"SELECT o.\"at\", txn, obj, coalesce(max(txn) OVER (PARTITION BY obj ORDER BY o.\"at\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > txn, false) AS aborts FROM {_OPS} o")
+_SETS = f"o AS {_OPS}, w AS (SELECT DISTINCT txn, obj FROM o WHERE writes), r AS (SELECT DISTINCT txn, obj FROM o WHERE NOT writes), t AS (SELECT DISTINCT txn FROM o)"
+
+
+@register("occ_forward", f"WITH {_SETS} SELECT t.txn, NOT EXISTS (SELECT 1 FROM w JOIN r ON r.obj = w.obj WHERE w.txn = t.txn AND r.txn > t.txn AND r.txn <= t.txn + 2) AS valid FROM t")
+def occ_forward(spark, d):
+    """A transaction is valid if the two behind it, still active, read nothing that it writes."""
+    return txn.validation(_ops(spark, d), ~c("writes"), c("writes"), lambda own, other: other.between(own + 1, own + 2))
+
+
+@register("occ_write_write", f"WITH {_SETS} SELECT t.txn, NOT EXISTS (SELECT 1 FROM w a JOIN w b ON a.obj = b.obj WHERE a.txn = t.txn AND b.txn < t.txn AND b.txn >= t.txn - 2) AS valid FROM t")
+def occ_write_write(spark, d):
+    return txn.validation(_ops(spark, d), c("writes"), c("writes"), lambda own, other: other.between(own - 2, own - 1))
+
+
+@register("write_skew", f"WITH {_SETS} SELECT a.txn AS a, b.txn AS b FROM t a JOIN t b ON b.txn = a.txn + 1 WHERE EXISTS (SELECT 1 FROM r JOIN w ON r.obj = w.obj WHERE r.txn = a.txn AND w.txn = b.txn) AND EXISTS (SELECT 1 FROM r JOIN w ON r.obj = w.obj WHERE r.txn = b.txn AND w.txn = a.txn) AND NOT EXISTS (SELECT 1 FROM w x JOIN w y ON x.obj = y.obj WHERE x.txn = a.txn AND y.txn = b.txn)")
+def write_skew(spark, d):
+    """Of two concurrent transactions (neighbours in number) each reads what the other writes, and they write nothing in common."""
+    return txn.write_skew(_ops(spark, d), 1)
+
+
+@register("first_writer_wins", f"WITH f AS (SELECT obj, txn, min(x.at) AS at FROM {_OPS} x WHERE writes GROUP BY 1, 2) SELECT obj, txn AS loser, (SELECT min_by(g.txn, g.at) FROM f g WHERE g.obj = f.obj) AS winner FROM f WHERE txn <> (SELECT min_by(g.txn, g.at) FROM f g WHERE g.obj = f.obj)")
+def first_writer_wins(spark, d):
+    return txn.first_writer(_ops(spark, d))
+
+
+@register(
+    "to_write_check",
+    f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY o.at) AS r FROM {_OPS} o),
+f AS (SELECT obj, r, s.at, txn, false AS aborts, CASE WHEN writes THEN -1 ELSE txn END AS rts, CASE WHEN writes THEN txn ELSE -1 END AS wts FROM s WHERE r = 1
+UNION ALL SELECT s.obj, s.r, s.at, s.txn, f.wts > s.txn OR (s.writes AND f.rts > s.txn),
+CASE WHEN NOT s.writes AND f.wts <= s.txn THEN greatest(f.rts, s.txn) ELSE f.rts END,
+CASE WHEN s.writes AND f.rts <= s.txn AND f.wts <= s.txn THEN s.txn ELSE f.wts END FROM f JOIN s ON s.obj = f.obj AND s.r = f.r + 1)
+SELECT f.at, txn, obj, aborts FROM f""",
+)
 def to_write_check(spark, d):
     return txn.timestamp_order(_ops(spark, d))
 
@@ -163,14 +224,32 @@ def to_write_check(spark, d):
 _RECORDS = "(SELECT event_id AS lsn, user_id AS txn, event_type AS kind FROM events)"
 
 
-@register("aries_losers", f"SELECT DISTINCT txn FROM {_RECORDS} WHERE kind = 'signup' AND txn NOT IN (SELECT txn FROM {_RECORDS} WHERE kind = 'purchase' AND lsn > 9000)")
+@register("aries_losers", f"SELECT txn FROM {_RECORDS} GROUP BY txn HAVING max(lsn) FILTER (kind = 'signup') > coalesce(max(lsn) FILTER (kind = 'purchase'), -1)")
 def aries_losers(spark, d):
-    """Transactions that began (signup) without a commit (purchase) in the log's end."""
-    log = table(spark, d, "events").select(c("event_id").alias("lsn"), c("user_id").alias("txn"), c("event_type").alias("kind"))
-    return txn.losers(log.filter("kind = 'signup'"), log.filter("kind = 'purchase' and lsn > 9000"))
+    """Transactions whose last begin (signup) no commit (purchase) follows."""
+    return txn.losers(_records(spark, d), c("kind") == "signup", c("kind") == "purchase")
+
+
+_SINCE = f"(SELECT lsn // 100 AS page, lsn, kind FROM {_RECORDS})"
+
+
+@register(
+    "aries_recovery",
+    f"""WITH flushed AS (SELECT page, max(lsn) AS at FROM {_SINCE} WHERE kind = 'view' GROUP BY page),
+dirty AS (SELECT p.page, min(p.lsn) AS rec_lsn FROM {_SINCE} p LEFT JOIN flushed f USING (page) WHERE p.kind <> 'view' AND p.lsn > coalesce(f.at, -1) GROUP BY p.page),
+undo AS (SELECT r.lsn FROM {_RECORDS} r JOIN (SELECT txn, max(lsn) FILTER (kind = 'signup') AS began, max(lsn) FILTER (kind = 'purchase') AS done FROM {_RECORDS} GROUP BY txn) t USING (txn) WHERE t.began > coalesce(t.done, -1) AND r.lsn >= t.began AND r.kind IN ('click', 'error'))
+SELECT (SELECT count(*) FROM dirty) AS dirty_pages, (SELECT min(rec_lsn) FROM dirty) AS redo_from, (SELECT count(*) FROM undo) AS undone, (SELECT max(lsn) FROM undo) AS undo_from""",
+)
+def aries_recovery(spark, d):
+    """Dirty pages by their first change after the last flush (view), where redo begins, and the losers' changes to undo."""
+    log = _records(spark, d).withColumn("page", F.floor(c("lsn") / 100))
+    return txn.recovery(log, c("kind") == "view", c("kind") == "signup", c("kind") == "purchase", c("kind").isin("click", "error"))
+
+
+def _records(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(c("event_id").alias("lsn"), c("user_id").alias("txn"), c("event_type").alias("kind"))
 
 
 @register("log_suffix", f"SELECT lsn, txn FROM {_RECORDS} WHERE lsn > (SELECT max(lsn) FROM {_RECORDS} WHERE kind = 'error' AND txn < 5)")
 def log_suffix(spark, d):
-    log = table(spark, d, "events").select(c("event_id").alias("lsn"), c("user_id").alias("txn"), c("event_type").alias("kind"))
-    return txn.suffix(log, (c("kind") == "error") & (c("txn") < 5)).select("lsn", "txn")
+    return txn.suffix(_records(spark, d), (c("kind") == "error") & (c("txn") < 5)).select("lsn", "txn")

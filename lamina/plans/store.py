@@ -131,26 +131,19 @@ def tombstone_gc(spark, d):
     return compaction.survivors(_log(spark, d), 7000, ranges.select("lo", "hi"))
 
 
-_RANGES = "(SELECT f AS number, min(o_custkey) AS lo, max(o_custkey) AS hi, count(*) AS file_size, f % 4 AS level FROM (SELECT o_orderkey % 20 AS f, o_custkey FROM orders WHERE o_custkey % 20 BETWEEN o_orderkey % 20 - 2 AND o_orderkey % 20) GROUP BY f)"
 _SPANS = "(SELECT number, number * 40 AS lo, number * 40 + 30 + (number % 3) * 15 AS hi, number * 1000 AS file_size, number % 4 AS level FROM (SELECT DISTINCT o_custkey % 40 AS number FROM orders))"
 
 
-def _ranges(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").withColumn("number", F.col("o_orderkey") % 20)
-    near = F.col("o_custkey") % 20
-    o = o.filter(near.between(F.col("number") - 2, F.col("number")))
-    return o.groupBy("number").agg(F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi"), F.count("*").alias("file_size")).withColumn("level", F.col("number") % 4)
-
-
 def _spans(spark, d) -> DataFrame:
     n = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("number")).distinct()
     number = F.col("number")
     return n.select("number", (number * 40).alias("lo"), (number * 40 + 30 + (number % 3) * 15).alias("hi"), (number * 1000).alias("file_size"), (number % 4).alias("level"))
 
 
-@register("file_ranges", f"SELECT number, lo, hi FROM {_RANGES}")
+@register("file_ranges", "SELECT o_orderkey // 500 AS number, min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders GROUP BY 1")
 def file_ranges(spark, d):
-    return _ranges(spark, d).select("number", "lo", "hi")
+    """Smallest and largest key of each file of 500 orders."""
+    return table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 500).alias("number")).agg(F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi"))
 
 
 @register("file_overlap_join", f"SELECT a.number AS a, a.lo AS a_lo, a.hi AS a_hi, b.number AS b, b.lo AS b_lo, b.hi AS b_hi FROM {_SPANS} a, {_SPANS} b WHERE a.lo <= b.hi AND b.lo <= a.hi AND a.number < b.number")
@@ -299,8 +292,8 @@ _NAMES = "(SELECT CASE event_id % 9 WHEN 0 THEN 'CURRENT' WHEN 1 THEN 'LOCK' WHE
 
 @register(
     "parse_filename",
-    f"""SELECT name, CASE WHEN name IN ('CURRENT', 'LOCK', 'LOG.old') THEN 0 WHEN name LIKE '%.vtb' OR name LIKE '%.sst' THEN NULL ELSE regexp_extract(name, '(\\d+)', 1)::BIGINT END AS number,
-CASE WHEN name = 'CURRENT' THEN 'current' WHEN name = 'LOCK' THEN 'lock' WHEN name = 'LOG.old' THEN 'info_log' WHEN name LIKE 'MANIFEST%' THEN 'manifest' WHEN name LIKE '%.log' THEN 'log' WHEN name LIKE '%.ldb' THEN 'table' WHEN name LIKE '%.dbtmp' THEN 'temp' END AS kind FROM {_NAMES}""",
+    f"""SELECT name, CASE WHEN name IN ('CURRENT', 'LOCK', 'LOG.old') THEN 0 WHEN name LIKE '%.sst' THEN NULL ELSE regexp_extract(name, '(\\d+)', 1)::BIGINT END AS number,
+CASE WHEN name = 'CURRENT' THEN 'current' WHEN name = 'LOCK' THEN 'lock' WHEN name = 'LOG.old' THEN 'info_log' WHEN name LIKE 'MANIFEST%' THEN 'manifest' WHEN name LIKE '%.log' THEN 'log' WHEN name LIKE '%.ldb' THEN 'table' WHEN name LIKE '%.vtb' THEN 'value' WHEN name LIKE '%.dbtmp' THEN 'temp' END AS kind FROM {_NAMES}""",
 )
 def parse_filename_query(spark, d):
     text = F.col("event_id").cast("string")

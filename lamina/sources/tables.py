@@ -30,7 +30,7 @@ def parse_filename(name: Column) -> Column:
     for text, kind in fixed.items():
         case = F.struct(zero.alias("number"), F.lit(kind).alias("kind"))
         out = F.when(name == text, case) if out is None else out.when(name == text, case)
-    numbered = {r"^MANIFEST-(\d+)$": "manifest", r"^(\d+)\.log$": "log", r"^(\d+)\.(?:sst|ldb)$": "table", r"^(\d+)\.dbtmp$": "temp"}
+    numbered = {r"^MANIFEST-(\d+)$": "manifest", r"^(\d+)\.log$": "log", r"^(\d+)\.(?:sst|ldb)$": "table", r"^(\d+)\.vtb$": "value", r"^(\d+)\.dbtmp$": "temp"}
     for pattern, kind in numbered.items():
         n = number(pattern)
         fits = name.rlike(pattern) & n.isNotNull() & (n <= F.lit("18446744073709551615").cast("decimal(20,0)"))
