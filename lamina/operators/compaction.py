@@ -11,22 +11,25 @@ from pyspark.sql import functions as F
 from lamina.operators.changelog import DELETE
 
 L0_TRIGGER, LEVELS, L1_BYTES = 4, 7, 10 * 1024 * 1024
+#: Keys to a bucket in lookups of ranges.
+BUCKET = 64
 
 
 def survivors(log: DataFrame, smallest_snapshot: int, deeper: DataFrame | None = None) -> DataFrame:
     """Versions that a compaction keeps.
 
     A version goes if a newer one of its key is visible to every snapshot; a tombstone also if it is itself visible to
-    all and no file of a deeper level (``deeper``: ranges ``lo, hi``) can hold the key. Without ``deeper`` all keys are
-    at their base level. The ranges are merged to disjoint ones first, so the range test is one lookup per tombstone.
+    all and no file of a deeper level (``deeper``: ranges ``lo, hi`` of integers) can hold the key. Without ``deeper`` all keys
+    are at their base level. Ranges are merged to disjoint ones and spread over buckets, so a tombstone meets only its bucket's.
     """
     newer = F.lag("seq").over(Window.partitionBy("k").orderBy(F.col("seq").desc()))
     kept = log.withColumn("newer", newer).filter(F.coalesce(F.col("newer") > smallest_snapshot, F.lit(True))).drop("newer")
     old_delete = (F.col("op") == DELETE) & (F.col("seq") <= smallest_snapshot)
     if deeper is None:
         return kept.filter(~old_delete)
-    covered = (F.col("k") >= F.col("lo")) & (F.col("k") <= F.col("hi"))
-    tombstones = kept.filter(old_delete).join(disjoint(deeper), covered, "left_semi")
+    ranges = disjoint(deeper).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor(F.col("hi") / BUCKET))))
+    covered = (F.floor(F.col("k") / BUCKET) == F.col("bucket")) & (F.col("k") >= F.col("lo")) & (F.col("k") <= F.col("hi"))
+    tombstones = kept.filter(old_delete).join(ranges, covered, "left_semi")
     return kept.filter(~old_delete).unionByName(tombstones)
 
 
@@ -102,5 +105,42 @@ def group_commit(batches: DataFrame, queue: str, order: str, size: str, sync: st
     return batches.repartition(queue).sortWithinPartitions(queue, order).mapInPandas(fold, schema)
 
 
+def cut_at_overlap(rows: DataFrame, grandparents: DataFrame, limit: int) -> DataFrame:
+    """Adds ``part``: an output ends before a key once the grandparent files passed since the last cut have more than ``limit`` bytes.
+
+    Every row finds by bucket how many grandparents (``hi, file_size``, in order of ``hi``) lie wholly before its key. Only these numbers,
+    at most one per grandparent and group ``grp``, go through the sequential fold.
+    """
+    order = Window.orderBy("hi")  # file metadata
+    placed = grandparents.select("hi", "file_size").withColumn("passed", F.row_number().over(order)).withColumn("before", F.lag("hi").over(order))
+    placed = placed.withColumn("sum", F.sum("file_size").over(order))
+    lows = rows.agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    last = placed.agg(F.max("hi").alias("before"), F.max("passed").alias("passed"), F.max("sum").alias("sum"))
+    zones = placed.select("before", F.col("hi").alias("upto"), (F.col("passed") - 1).alias("passed"), (F.col("sum") - F.col("file_size")).alias("sum"))
+    zones = zones.unionByName(last.select("before", F.lit(None).cast("bigint").alias("upto"), "passed", "sum")).crossJoin(F.broadcast(lows))  # one row
+    zones = zones.select(F.coalesce("before", F.col("low") - 1).alias("before"), F.coalesce("upto", "high").alias("upto"), "passed", "sum").filter("before < upto")
+    zones = zones.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("before") + 1) / BUCKET), F.floor(F.col("upto") / BUCKET))))
+    at = (F.floor(F.col("k") / BUCKET) == F.col("bucket")) & (F.col("k") > F.col("before")) & (F.col("k") <= F.col("upto"))
+    found = rows.join(zones, at).select(*rows.columns, "passed", "sum")
+    steps = found.select("grp", "passed", "sum").distinct()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seen, held, part = None, 0, 0, 0
+        for batch in batches:
+            parts = []
+            for g, upto in zip(batch["grp"], batch["sum"], strict=True):
+                if g != last:
+                    last, seen, held, part = g, upto, 0, 0
+                held, seen = held + upto - seen, upto
+                if held > limit:
+                    held, part = 0, part + 1
+                parts.append(part)
+            yield batch[["grp", "passed"]].assign(part=parts)
+
+    kinds = dict(steps.dtypes)
+    cuts = steps.repartition("grp").sortWithinPartitions("grp", "passed").mapInPandas(fold, f"grp {kinds['grp']}, passed {kinds['passed']}, part bigint")
+    return found.join(cuts, ["grp", "passed"]).select(*rows.columns, "part")
+
+
 def allowed_seeks(file_size: Column) -> Column:
     return F.greatest(F.lit(100), F.floor(file_size / 16384)).cast("long")

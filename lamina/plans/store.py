@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,11 +173,15 @@ r(number, hi) AS (SELECT number, hi FROM f WHERE number % 8 = 0 UNION SELECT f.n
 def boundary_files(spark, d):
     n = F.col("number")
     f = _spans(spark, d).select("number", (n * 10).alias("lo"), (n * 10 + F.when(n % 4 == 3, 5).otherwise(10)).alias("hi"))
-    f.createOrReplaceTempView("boundary_input")
-    return spark.sql(
-        "WITH RECURSIVE r(number, hi) AS (SELECT number, hi FROM boundary_input WHERE number % 8 = 0 UNION ALL "
-        "SELECT f.number, f.hi FROM boundary_input f JOIN r ON f.lo = r.hi AND f.number <> r.number) SELECT DISTINCT number FROM r"
-    )
+    view = f"boundary_{uuid.uuid4().hex}"
+    f.createOrReplaceTempView(view)
+    try:
+        return spark.sql(
+            f"WITH RECURSIVE r(number, hi) AS (SELECT number, hi FROM {view} WHERE number % 8 = 0 UNION ALL "
+            f"SELECT f.number, f.hi FROM {view} f JOIN r ON f.lo = r.hi AND f.number <> r.number) SELECT DISTINCT number FROM r"
+        )
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 _LEVELS = "(SELECT (l_linenumber - 1)::BIGINT AS level, l_suppkey AS number, (sum(l_quantity) * 10000)::BIGINT AS file_size FROM lineitem GROUP BY 1, 2)"
@@ -228,10 +234,9 @@ _MOVE = f"SELECT a.number FROM {_SPANS} a WHERE a.level = 1 AND NOT EXISTS (SELE
 def trivial_moves(spark, d):
     """Files of level 1 that can move down as they are: no overlap at level 2, little at level 3."""
     f = _spans(spark, d)
-    meets = lambda x: (F.col("lo") <= F.col(f"{x}_hi")) & (F.col(f"{x}_lo") <= F.col("hi"))
     level = lambda n, x: f.filter(F.col("level") == n).select(F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("file_size").alias(f"{x}_size"))
-    alone = f.filter("level = 1").join(level(2, "p"), meets("p"), "left_anti")
-    grand = alone.join(level(3, "g"), meets("g"), "left").groupBy("number").agg(F.coalesce(F.sum("g_size"), F.lit(0)).alias("below"))
+    alone = files.overlap_join(f.filter("level = 1"), level(2, "p"), ("lo", "hi"), ("p_lo", "p_hi"), 64, "left_anti")
+    grand = files.overlap_join(alone, level(3, "g"), ("lo", "hi"), ("g_lo", "g_hi"), 64, "left").groupBy("number").agg(F.coalesce(F.sum("g_size"), F.lit(0)).alias("below"))
     return grand.filter("below <= 20000").select("number")
 
 
@@ -337,12 +342,12 @@ def entry_size(spark, d):
     return table(spark, d, "documents").select("doc_id", codec.entry_size(F.octet_length(F.col("doc_id").cast("string")), F.octet_length("text")).alias("entry_bytes"))
 
 
-@register("memtable_bytes", f"SELECT doc_id, (sum({_ENTRY}) OVER (PARTITION BY lang ORDER BY doc_id))::BIGINT AS used FROM (SELECT doc_id, lang, doc_id::VARCHAR AS k, text FROM documents)")
+@register("memtable_bytes", f"SELECT doc_id, (sum({_ENTRY}) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id))::BIGINT AS used FROM (SELECT doc_id, doc_id::VARCHAR AS k, text FROM documents)")
 def memtable_bytes(spark, d):
-    """Bytes that each buffer (one per language) holds after each write."""
+    """Bytes that each of 64 writers' buffers holds after each write."""
     size = codec.entry_size(F.octet_length(F.col("doc_id").cast("string")), F.octet_length("text"))
-    sized = table(spark, d, "documents").select("doc_id", "lang", size.alias("size"))
-    order = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 64).alias("writer"), size.alias("size"))
+    order = Window.partitionBy("writer").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return sized.select("doc_id", F.sum("size").over(order).alias("used"))
 
 
