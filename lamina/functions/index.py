@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,30 @@ def may_contain(df: DataFrame, column: str, bloom: DataFrame, bits: int) -> Data
     packed = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("filter"))
     hit = F.forall(_bits(column, bits), lambda b: F.call_function("shiftright", F.get("filter", F.floor(b / 64).cast("int")), (b % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return df.crossJoin(F.broadcast(packed)).withColumn("maybe", hit).drop("filter")  # one row of a fixed size
+
+
+def hashed(value: Column) -> Column:
+    """A number below 2^32, the same on every engine: the first half of the MD5's first half."""
+    return F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def ring_node(key: Column, nodes: int, points: int) -> Column:
+    """Node of a key on a hash ring of ``nodes`` with ``points`` each: the ring is a sorted constant array."""
+    ring = sorted((int(hashlib.md5(f"node{n}#{v}".encode()).hexdigest()[:8], 16), n) for n in range(nodes) for v in range(points))
+    places, owners = F.lit([p for p, _ in ring]), F.lit([n for _, n in ring])
+    below = F.size(F.filter(places, lambda p: p < hashed(key)))
+    return F.get(owners, F.when(below == len(ring), 0).otherwise(below)).cast("long")
+
+
+def _grams(text: Column, n: int) -> Column:
+    last = F.length(text) - n + 1
+    every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+
+
+def ngram_search(df: DataFrame, key: str, text: str, wanted: str, least: float, n: int = 3) -> DataFrame:
+    """``key, similarity`` of the texts that share at least that part of their n-grams with ``wanted``."""
+    own, query = _grams(F.col(text), n), F.lit(sorted({wanted[i : i + n] for i in range(len(wanted) - n + 1)}))
+    counted = df.select(key, F.size(own).alias("a"), F.size(F.array_intersect(own, query)).alias("both"))
+    similarity = F.col("both") / (F.col("a") + F.size(query) - F.col("both"))
+    return counted.select(key, similarity.alias("similarity")).filter(F.col("similarity") >= least)

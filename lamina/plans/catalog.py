@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for module in ("store", "relational", "analytics"):
+    for module in ("store", "relational", "analytics", "engine"):
         import_module(f"lamina.plans.{module}")
 
 

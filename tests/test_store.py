@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lamina.functions import codec
 from lamina.operators import changelog as cl
-from lamina.operators import compaction, files, mvcc, vlog
+from lamina.operators import compaction, files, mvcc, txn, vlog
+from lamina.operators.engine import Store
 
 LOG = "k string, seq long, op tinyint, v string"
 GOLDEN = [("a", 1, 1, "1"), ("b", 2, 1, "2"), ("a", 3, 1, "3"), ("a", 4, 0, None)]
@@ -87,3 +88,46 @@ def test_threshold_value_is_separated(spark):
     out = vlog.separate(df, F.lit(0))
     assert rows(out.select("k", "separated")) == [(1, True), (2, False), (3, False)]
     assert rows(vlog.dereference(out, vlog.value_log(df, F.lit(0)))) == [(1, "x" * 1024), (2, "x" * 1023), (3, "")]
+
+
+def test_store_is_reopened(spark, tmp_path):
+    """Put, get, delete, get, with flushes and new openings between them."""
+    kinds, path = "k string, seq long, op tinyint, v string", f"file://{tmp_path}/store"
+    change = lambda *rows: spark.createDataFrame(rows, kinds)
+    store = Store(spark, path, kinds)
+    assert rows(store.get("key")) == []
+    store.write(change(("key", 1, 1, "value"), ("other", 2, 1, "x")))
+    assert rows(Store(spark, path, kinds).get("key").select("v")) == [("value",)]
+    store.flush()
+    store.flush()
+    store = Store(spark, path, kinds)
+    assert store.live == [(1, 0)] and rows(store.get("key").select("v")) == [("value",)]
+    store.write(change(("key", 3, 0, None)))
+    assert rows(store.get("key")) == [] and rows(store.get("key", 2).select("v")) == [("value",)]
+    store.flush()
+    store = Store(spark, path, kinds)
+    assert rows(store.get("key")) == [] and rows(store.view().select("k")) == [("other",)] and len(store.live) == 2
+    assert store._log().count() == 0
+
+
+def test_byte_codecs(spark):
+    one = spark.createDataFrame([(b"123456789",), (b"",), (b"\xff\xff",), (b"\xffa",)], "b binary")
+    got = one.select(codec.crc32c(F.col("b")).alias("crc"), codec.short_successor_bytes(F.col("b")).alias("next"), codec.read_length_prefixed(codec.length_prefixed(F.col("b"))).alias("back")).collect()
+    assert got[0].crc == 0xE3069283 and got[1].crc == 0
+    assert [r.next for r in got] == ["32", "", "FFFF", "FF62"] and [bytes(r.back) for r in got] == [b"123456789", b"", b"\xff\xff", b"\xffa"]
+    cut = spark.createDataFrame([("80",), ("05AA",), ("",)], "d string")
+    assert [r[0] for r in cut.select(codec.read_length_prefixed(F.col("d"))).collect()] == [None, None, None]
+
+
+def test_timestamp_order_as_a_fold(spark):
+    rng = random.Random(4)
+    ops = [(rng.randrange(9), i, rng.randrange(3), rng.random() < 0.5) for i in range(300)]
+    marks, expected = {}, []
+    for t, at, obj, writes in ops:
+        read, write = marks.get(obj, (-1, -1))
+        aborts = write > t or (writes and read > t)
+        if not aborts:
+            marks[obj] = (read, t) if writes else (max(read, t), write)
+        expected.append((at, aborts))
+    df = spark.createDataFrame(ops, "txn long, at long, obj long, writes boolean")
+    assert rows(txn.timestamp_order(df).select("at", "aborts")) == expected
