@@ -1,18 +1,21 @@
 """Main-text extraction by minimum cut.
 
-A page becomes its text blocks in page order. A classifier gives each block a score from its nearest telling
-ancestor (article or main against menus, headers, footers, sidebars, notices, adverts, forms and reader comments),
-its link share and its length; the score becomes a capacity to the source (content) or to the sink (boilerplate).
-Smoothness edges join neighbours on the page and blocks of the same parent, unless different ancestors decided them.
-The minimum cut, found by maximum flow (Dinic), separates content from boilerplate.
+A page becomes its text blocks in page order. A classifier gives each block a cost from its text: length, end of a
+sentence and link share, towards content (capacity from the source) or boilerplate (to the sink). Telling ancestors
+(article or main against menus, headers, footers, sidebars, notices, adverts, forms and reader comments) form regions, nodes
+of their own with graded costs by element and by words of class, id and role. Smoothness edges tie blocks to their region,
+neighbours on the page, blocks of one parent, and regions to the region around them (DOM proximity). The minimum cut, found by
+maximum flow (Dinic), separates content from boilerplate: a short heading stays with its article, a long reader's
+comment goes with its section, and a region with a weak name but running text is kept.
 
-A part of the graph whose scores all have one sign needs no flow: its cut costs nothing. So flow runs only where
-evidence conflicts.
+Where a tie is worth more than all else that a block has, both have the same label in a minimum cut, so such blocks are merged
+with their region before the flow (``_merged``); a part of the graph whose costs all have one sign is cut for nothing.
 
 A map over partitions: no shuffle; a worker holds one batch.
 
 Defined cases. A null html is empty and gives an empty text. Unclosed elements end with their parent, unclosed
-comments and scripts with the page. White space of any kind inside a block becomes one space. Repeated rows are
+comments, scripts and styles with the page; an unclosed embedded object (audio, video and the like) hides nothing. Hidden
+elements, and adverts, notices and the like inside a paragraph, are left out of its text. White space of any kind inside a block becomes one space. Repeated rows are
 extracted one by one; an empty table gives an empty result; other columns of the input are left out.
 """
 
@@ -33,6 +36,8 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
+#: Raw to the end of the page if they aren't closed.
+_ENDLESS = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes"}
 _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "noembed", "noframes", "math", "canvas", "audio", "video"}
 _RCDATA = {"title", "textarea"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -50,15 +55,22 @@ _CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 _BAD_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "fieldset", "textarea", "input", "title", "head", "label"}
 _GOOD_TAGS = {"article", "main"}
 _BAD_WORDS = {
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "complementary", "footer", "contentinfo", "masthead", "topbar", "toolbar",
-    "ad", "ads", "advert", "advertisement", "adverts", "adsense", "banner", "promo", "promotion", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
-    "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "reply", "replies",
-    "disqus", "respond", "related", "recommended", "recommendations", "widget", "pagination", "pager", "copyright", "legal", "disclaimer", "search", "form", "hidden", "header", "dialog",
+    "aside", "complementary", "contentinfo", "topbar", "toolbar", "ad", "ads", "banner", "consent", "notice", "notices", "alert", "overlay", "subscription", "signup", "login", "share", "sharing",
+    "social", "related", "recommended", "recommendations", "widget", "pagination", "pager", "copyright", "legal", "disclaimer", "search", "form", "hidden", "header", "dialog",
 }
+#: These tell in any company ("user-comments"), the others above only by themselves or beside their like ("search-box").
+_TELLING = {
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "advert", "advertisement", "adverts", "adsense", "promo", "promotion", "sponsor", "sponsored",
+    "cookie", "cookies", "gdpr", "popup", "modal", "newsletter", "subscribe", "comment", "comments", "reply", "replies", "disqus", "respond",
+}
+_SUFFIXES = {"", "box", "bar", "list", "section", "container", "wrapper", "wrap", "block", "area", "links", "link", "inner", "outer", "top", "bottom", "left", "right", "site", "page", "main", "global", "panel", "row", "item", "items", "buttons", "button", "slot", "unit"}
 _GOOD_WORDS = {"article", "articlebody", "entry", "story", "post", "main", "content", "body", "text", "prose"}
 _EXEMPT = {"html", "body", "article", "main"}
 
-DECISIVE, LINKED, LONG, SHORT, NEIGHBOUR, SIBLING = 6.0, 2.0, 1.0, 0.5, 0.75, 1.0
+#: Costs a block: regions by element or clear words, by unclear words; text.
+CLEAR, UNCLEAR, LINKED, LONG, SHORT = 3.0, 0.75, 2.0, 1.5, 0.5
+#: Edges: a block and its region, neighbours and siblings outside of regions, neighbours across regions, a region and the one around it.
+TIE, NEIGHBOUR, SIBLING, ACROSS, AROUND = 12.0, 0.75, 1.0, 0.25, 0.5
 
 
 @dataclass
@@ -66,18 +78,21 @@ class Block:
     text: str
     linked: int
     parent: int
-    verdict: int
-    decider: int
+    region: int
+    cue: float  # a block of the region's cost
+    around: int
 
 
 @dataclass
 class _Element:
     tag: str
     number: int
-    verdict: int  # of the nearest telling ancestor or self: 1, -1 or 0
-    decider: int
+    region: int  # nearest telling ancestor or self; 0: none
+    cue: float
+    around: int  # the region around that
     in_link: bool = False
     in_article: bool = False
+    dropped: bool = False
 
 
 @dataclass
@@ -86,7 +101,8 @@ class _Pending:
     linked: int = 0
 
 
-def _own_verdict(tag: str, attributes: str, inside_article: bool) -> int:
+def _own_cue(tag: str, attributes: str, inside_article: bool) -> tuple[float, bool, bool]:
+    """Cost that an element speaks for (0: nothing), whether it is hidden, and whether its words are clearly boilerplate's."""
     words: set[str] = set()
     hidden = False
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
@@ -99,26 +115,34 @@ def _own_verdict(tag: str, attributes: str, inside_article: bool) -> int:
             hidden |= value.lower() == "true"
         else:
             words.update(_SPLIT.split(_CAMEL.sub(r"\1 \2", value).lower()))
+    words.discard("")
+    bad = words & _BAD_WORDS
+    if inside_article:
+        bad.discard("header")
+    clear = tag not in _EXEMPT - _GOOD_TAGS and (bool(words & _TELLING) or bool(bad) and words <= _BAD_WORDS | _SUFFIXES)
+    if hidden or clear:
+        return -CLEAR, hidden, clear
     if tag in _GOOD_TAGS:
-        return -1 if hidden or words & {"comment", "comments", "reply"} else 1
-    if hidden or tag in _BAD_TAGS or (tag == "header" and not inside_article):
-        return -1
-    if tag in _EXEMPT:
-        return 0
-    if words & _BAD_WORDS and not (inside_article and words & {"header", "body"} and not words & (_BAD_WORDS - {"header"})):
-        return -1
-    return 1 if words & _GOOD_WORDS else 0
+        return CLEAR, False, False
+    if tag in _BAD_TAGS or (tag == "header" and not inside_article):
+        return -CLEAR, False, False
+    if tag in _EXEMPT or tag in _INLINE:
+        return 0.0, False, False
+    good = words & _GOOD_WORDS
+    if bad:
+        return (UNCLEAR if good and bad == {"header"} else -UNCLEAR), False, False  # "post-header" holds the title
+    return CLEAR * bool(good), False, False
 
 
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in order; scripts, styles, comments and markup are left out."""
     out: list[Block] = []
-    stack = [_Element("", 0, 0, 0)]
+    stack = [_Element("", 0, 0, 0.0, 0)]
     pending, numbers, at, last = _Pending(), 0, 0, html.rfind(">") + 1
     open_: dict[str, int] = {}
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and not stack[-1].dropped:
             pending.parts.append(raw)
             if not raw.isspace() and stack[-1].in_link:
                 pending.linked += len(raw)
@@ -128,7 +152,7 @@ def blocks(html: str) -> list[Block]:
         if pending.parts:
             if joined := " ".join(unescape("".join(pending.parts)).split()):
                 holder = next(e for e in reversed(stack) if e.tag not in _INLINE)
-                out.append(Block(joined, pending.linked, holder.number, stack[-1].verdict if stack[-1].tag not in _INLINE else holder.verdict, holder.decider))
+                out.append(Block(joined, pending.linked, holder.number, holder.region, holder.cue, holder.around))
             pending = _Pending()
 
     def close(index: int) -> None:
@@ -161,7 +185,10 @@ def blocks(html: str) -> list[Block]:
         if tag in _RAW or tag in _RCDATA:
             if not attributes.endswith("/"):
                 end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(html, at)
-                at = len(html) if end is None else end.end()
+                if end is not None:
+                    at = end.end()
+                elif tag in _ENDLESS:
+                    at = len(html)
             continue
         if tag == "br":
             pending.parts.append("\n")
@@ -188,8 +215,11 @@ def blocks(html: str) -> list[Block]:
             continue
         numbers += 1
         top = stack[-1]
-        own = _own_verdict(tag, attributes, top.in_article)
-        stack.append(_Element(tag, numbers, own or top.verdict, numbers if own else top.decider, top.in_link or tag == "a", top.in_article or tag in _GOOD_TAGS))
+        cue, hidden, clear = _own_cue(tag, attributes, top.in_article)
+        dropped = top.dropped or hidden or (clear and tag in _INLINE)
+        own = cue and tag not in _INLINE
+        region = (numbers, cue, top.region) if own else (top.region, top.cue, top.around)
+        stack.append(_Element(tag, numbers, *region, top.in_link or tag == "a", top.in_article or tag in _GOOD_TAGS, dropped))
         open_[tag] = open_.get(tag, 0) + 1
     text(html[at:])
     flush()
@@ -197,27 +227,62 @@ def blocks(html: str) -> list[Block]:
 
 
 def score(b: Block) -> float:
-    """Above 0: content."""
-    if b.verdict:
-        s = DECISIVE * b.verdict
-    else:
-        s = LONG if len(b.text) >= 80 else -SHORT
-        s += 0.5 if b.text[-1:] in ".!?…\"'”»" else -0.25
+    """The text's evidence; above 0: content."""
+    s = min(LONG, len(b.text) / 80 * LONG) - SHORT
+    s += 0.5 if b.text[-1:] in ".!?…\"'”»" else -0.25
     if b.linked:
         s -= LINKED * min(1.0, b.linked / len(b.text))
     return s
 
 
-def edges(page: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness: neighbours on the page, and consecutive blocks of one parent; none between different deciders."""
-    out, last = [], {}
+def graph(page: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Costs of the blocks, then of their regions, and the edges."""
+    costs, links, number, last = [score(b) for b in page], [], {}, {}
+    for b in page:
+        if b.region and b.region not in number:
+            number[b.region] = len(page) + len(number)
+    costs += [0.0] * len(number)
     for i, b in enumerate(page):
-        if i and page[i - 1].decider == b.decider:
-            out.append((i - 1, i, NEIGHBOUR))
-        if (j := last.get(b.parent)) is not None and page[j].decider == b.decider:
-            out.append((j, i, SIBLING))
-        last[b.parent] = i
-    return out
+        if b.region:
+            costs[number[b.region]] += b.cue
+            links.append((i, number[b.region], TIE))
+            if b.around in number and (b.region, b.around) not in last:
+                last[b.region, b.around] = i
+                links.append((number[b.region], number[b.around], AROUND))
+        if i and page[i - 1].region != b.region:
+            links.append((i - 1, i, ACROSS))
+        elif not b.region:
+            if i:
+                links.append((i - 1, i, NEIGHBOUR))
+            if (j := last.get(b.parent)) is not None:
+                links.append((j, i, SIBLING))
+        if not b.region:
+            last[b.parent] = i
+    return costs, links
+
+
+def _merged(n: int, costs: list[float], links: list[tuple[int, int, float]]) -> tuple[list[int], list[float], list[tuple[int, int, float]]]:
+    """The graph with blocks (the first ``n`` nodes) merged into a node to which their tie is worth all their other edges and their
+    cost: then moving a block to that node's side never costs, so a minimum cut has both on one side."""
+    weight = [abs(x) for x in costs]
+    strongest: list[tuple[float, int]] = [(0.0, -1)] * len(costs)
+    for a, b, w in links:
+        weight[a] += w
+        weight[b] += w
+        if a < n <= b:
+            strongest[a] = (w, b)
+    to = [b if b >= 0 and 2 * w >= weight[i] else i for i, (w, b) in enumerate(strongest)]
+    names = {x: k for k, x in enumerate(dict.fromkeys(to))}
+    place = [names[x] for x in to]
+    merged, sums = [0.0] * len(names), {}
+    for k, x in zip(place, costs, strict=True):
+        merged[k] += x
+    for a, b, w in links:
+        a, b = place[a], place[b]
+        if a != b:
+            key = (a, b) if a < b else (b, a)
+            sums[key] = sums.get(key, 0.0) + w
+    return place, merged, [(a, b, w) for (a, b), w in sums.items()]
 
 
 def max_flow_side(n: int, scores: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
@@ -279,28 +344,11 @@ def max_flow_side(n: int, scores: list[float], links: list[tuple[int, int, float
 
 def label(page: list[Block]) -> list[bool]:
     """True for content."""
-    scores, links = [score(b) for b in page], edges(page)
-    root = list(range(len(page)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for a, b, _ in links:
-        root[find(a)] = find(b)
-    mixed = {}
-    for i, s in enumerate(scores):
-        mixed.setdefault(find(i), set()).add(s > 0)
-    out = [s > 0 for s in scores]
-    for r, signs in mixed.items():
-        if len(signs) == 2:
-            own = [i for i in range(len(page)) if find(i) == r]
-            place = {i: k for k, i in enumerate(own)}
-            inside = [(place[a], place[b], w) for a, b, w in links if a in place]
-            for i, keep in zip(own, max_flow_side(len(own), [scores[i] for i in own], inside), strict=True):
-                out[i] = keep
-    return out
+    place, costs, links = _merged(len(page), *graph(page))
+    if min(costs, default=0.0) > 0 or max(costs, default=0.0) <= 0:
+        return [costs[k] > 0 for k in place[: len(page)]]
+    side = max_flow_side(len(costs), costs, links)
+    return [side[k] for k in place[: len(page)]]
 
 
 def extract(html: str) -> str:

@@ -167,6 +167,43 @@ def test_html(spark):
     df = spark.createDataFrame([(1, "u", page, 5), (2, None, None, 6), (1, "u", page, 5)], "page_id long, url string, html string, n_chars int")
     out = html_extract.extract_text(df)
     assert sorted((r.page_id, r.n_chars, r.text) for r in out.collect())[-1] == (2, 0, "") and out.filter("page_id = 1").count() == 2
+    assert html_extract.extract_text(df.limit(0)).count() == 0
+
+
+def test_html_probes():
+    """Hand-labelled pages."""
+    long = "A paragraph of running text, which goes on for a while and then ends as a sentence does."
+    for page, expected in [
+        ('<article><p>One <span style="display:none">no</span>two <span class="advert">buy</span>three.</p></article>', "One two three."),
+        (f"<article><p>One.</p><audio src=x><p>Two.</p></article><p>{long}</p>", f"One.\n\nTwo.\n\n{long}"),
+        (f'<article><section class="search-engines"><p>{long}</p></section><div class="legal-news"><p>{long}</p></div></article>', f"{long}\n\n{long}"),
+        ('<div class="post-header"><h1>Title</h1></div><article><p>One.</p></article>', "Title\n\nOne."),
+        (f'<article class="related"><p>{long}</p></article><main><p>Main.</p></main>', "Main."),
+        (f'<article><h1>T</h1></article><div class="user-comments"><p>{long}</p><p>{long}</p></div>', "T"),
+        (f'<div id="search-box"><p>{long}</p></div><main><h2>Head</h2><ul><li><a href="/">Link</a></li></ul></main>', "Head\n\nLink"),
+        (f'<article><p>{long}</p><object data="x">no<p>no</object><p>Two.</p></article><footer><p>{long}</p></footer>', f"{long}\n\nTwo."),
+        (f"<div><p>{long}</p><p>short</p><p>{long}</p></div><div><a href='/'>Home</a></div>", f"{long}\n\nshort\n\n{long}"),
+    ]:
+        assert html_extract.extract(page) == expected, page
+
+
+def test_the_cut_decides(monkeypatch):
+    """On pages of the test tables flow runs, and it changes what the costs alone say."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    calls, flow = [], html_extract.max_flow_side
+    monkeypatch.setattr(html_extract, "max_flow_side", lambda *a: calls.append(1) or flow(*a))
+    changed = 0
+    for html in pages:
+        blocks = html_extract.blocks(html or "")
+        labels = html_extract.label(blocks)
+        changed += any((html_extract.score(b) > 0) != k for b, k in zip(blocks, labels, strict=True))
+        costs, links = html_extract.graph(blocks)
+        whole = flow(len(costs), costs, links)
+        cost = lambda keep: sum(abs(c) for c, k in zip(costs, keep, strict=True) if (c > 0) != k and c) + sum(w for a, b, w in links if keep[a] != keep[b])
+        assert cost([*labels, *whole[len(blocks) :]]) == pytest.approx(cost(whole))
+    assert len(calls) > len(pages) / 2 and changed > len(pages) / 2
 
 
 def test_minimum_cut_is_minimal():
