@@ -119,8 +119,9 @@ def ring_node(key: Column, nodes: int, points: int) -> Column:
     """Node of a key on a hash ring of ``nodes`` with ``points`` each: the ring is a sorted constant array."""
     ring = sorted((int(hashlib.md5(f"node{n}#{v}".encode()).hexdigest()[:8], 16), n) for n in range(nodes) for v in range(points))
     places, owners = F.lit([p for p, _ in ring]), F.lit([n for _, n in ring])
-    below = F.size(F.filter(places, lambda p: p < hashed(key)))
-    return F.get(owners, F.when(below == len(ring), 0).otherwise(below)).cast("long")
+    below = lambda h: F.size(F.filter(places, lambda p: p < h))
+    at = F.transform(F.array(hashed(key)), below)[0]  # the key is hashed once
+    return F.get(owners, at % len(ring)).cast("long")
 
 
 def _grams(text: Column, n: int) -> Column:

@@ -134,14 +134,14 @@ def precedence_edges(spark, d):
     return txn.precedence(_ops(spark, d))
 
 
-# a user's events among 32 in a row are one transaction, on four objects
-_SHORT = "(SELECT event_id // 32 * 1000000 + user_id AS txn, event_id AS at, event_id // 32 * 4 + event_id % 4 AS obj, event_type IN ('purchase', 'signup') AS writes FROM events)"
+# the events of every eighth user among 32 in a row are one transaction, on four objects
+_SHORT = "(SELECT event_id // 32 * 8 + user_id % 8 AS txn, event_id AS at, event_id // 32 * 4 + event_id % 4 AS obj, event_type IN ('purchase', 'signup') AS writes FROM events)"
 
 
 def _short(spark, d) -> DataFrame:
     epoch = F.floor(c("event_id") / 32)
     e = table(spark, d, "events")
-    return e.select((epoch * 1000000 + c("user_id")).alias("txn"), c("event_id").alias("at"), (epoch * 4 + c("event_id") % 4).alias("obj"), c("event_type").isin("purchase", "signup").alias("writes"))
+    return e.select((epoch * 8 + c("user_id") % 8).alias("txn"), c("event_id").alias("at"), (epoch * 4 + c("event_id") % 4).alias("obj"), c("event_type").isin("purchase", "signup").alias("writes"))
 
 
 _CYCLES = "WITH RECURSIVE e AS ({0}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS txn FROM r WHERE src = dst"
