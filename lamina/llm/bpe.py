@@ -4,8 +4,8 @@
 once per worker through a bounded memo, and returns the ids with each token's byte offset; ``decode`` puts the
 bytes back by those offsets. Ids and offsets are packed as little-endian unsigned 32-bit integers.
 
-Both map over partitions: no shuffle, and a worker holds one slice of about half a million characters, a bounded
-memo and the vocabulary.
+Both map over partitions: no shuffle. A worker holds one batch as it came, one slice of it of about half a million
+bytes, a bounded memo and the vocabulary; ``round_trip`` does both in one worker.
 
 Defined cases. A null text counts as empty; an empty text has no ids and decodes to no bytes. A text longer
 than a slice is a slice of its own. Repeated rows are encoded one by one; an empty table gives an empty
@@ -137,43 +137,49 @@ class Decoder:
         return self.flat[np.arange(total) + np.repeat(self.at[ids] - offsets, size)].tobytes()
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    encoder, decoder = Encoder(path), Decoder(path)
+    for batch in batches:
+        for first, texts in pretokens.slices(batch.column("text")):
+            packed = encoder.encode(texts)
+            offsets = [decoder.offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in packed]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(first, len(texts)), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(offsets, pa.binary())],
+                ["doc_id", "n_tokens", "ids", "offsets"],
+            )
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    decoder = Decoder(path)
+    for batch in batches:
+        rows = zip(batch.column("ids"), batch.column("offsets"), strict=True)
+        out = [decoder.decode(np.frombuffer(i.as_buffer(), "<u4"), np.frombuffer(o.as_buffer(), "<u4").astype(np.int64)) for i, o in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_tokens", "ids")] + [pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``doc_id, n_tokens, ids, offsets``; ids and byte offsets packed as little-endian unsigned 32-bit integers."""
     docs = id_text(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(path), Decoder(path)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in pretokens.chunks(texts):
-                packed = encoder.encode(texts[a:b])
-                offsets = [decoder.offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in packed]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(offsets, pa.binary())],
-                    ["doc_id", "n_tokens", "ids", "offsets"],
-                )
-
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, offsets binary")
+    return docs.mapInArrow(lambda batches: _encoded(batches, path), f"doc_id {kind}, n_tokens bigint, ids binary, offsets binary")
 
 
 def decode(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """What ``encode`` returns, with a column ``decoded``: the bytes of the text."""
+    """What ``encode`` returns, with a column ``decoded``, the bytes of the text, in place of the offsets."""
     kind = df.schema["doc_id"].dataType.simpleString()
+    columns = df.select("doc_id", "n_tokens", "ids", "offsets")
+    return columns.mapInArrow(lambda batches: _decoded(batches, path), f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(path)
-        for batch in batches:
-            rows = zip(batch.column("ids"), batch.column("offsets"), strict=True)
-            out = [decoder.decode(np.frombuffer(i.as_buffer(), "<u4"), np.frombuffer(o.as_buffer(), "<u4").astype(np.int64)) for i, o in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_tokens", "ids")] + [pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    columns = df.select("doc_id", "n_tokens", "ids", "offsets")
-    return columns.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """``decode(encode(df))`` slice by slice in one worker: ids and offsets of a whole batch are never held, nor sent there and back."""
+    docs = id_text(df, id_col, text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(lambda batches: _decoded(_encoded(batches, path), path), f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """Encode, decode, and the digests of both."""
-    return decode(encode(df, id_col, text_col, path), path).select(
+    return round_trip(df, id_col, text_col, path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

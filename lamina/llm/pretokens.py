@@ -13,9 +13,12 @@ plus the letters and digits that came after its version.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _NEWER = {
     "15.1.0": (
@@ -149,6 +152,16 @@ def chunks(texts: list[str], most: int = 1 << 19):
         yield first, len(texts)
 
 
+def slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
+    """A column's texts (none is null) in slices of at most ``most`` bytes (a longer text is a slice of its own), as (first, texts)."""
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))])
+    first = 0
+    while first < len(column):
+        behind = max(first + 1, int(np.searchsorted(upto, upto[first] + most, "right")) - 1)
+        yield first, column.slice(first, behind - first).to_pylist()
+        first = behind
+
+
 class TwoGenerations:
     """A bounded memo: when the young half is full it becomes the old one, and what is asked again moves back."""
 

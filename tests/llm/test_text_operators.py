@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import public_tokenizers
@@ -87,6 +88,22 @@ def test_token_tables(spark):
     assert bpe.digests(frame(spark, [])).count() == 0 and token_counts.count_tokens(frame(spark, [])).count() == 0
 
 
+def test_bpe_round_trip_in_one_worker(spark, monkeypatch):
+    """One Python worker a task, slice by slice, with the rows of encoding and decoding apart."""
+    texts = ["Hello world", None, "", "漢字 é\n" * 40, "", *fuzz(ALPHABET, 300, 40, 5), "x" * 5000, ""]
+    df = frame(spark, texts)
+    assert bpe.digests(df)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    columns = "doc_id", "n_tokens", "ids", "decoded"
+    apart, at_once = by_id(bpe.decode(bpe.encode(df)).select(*columns)), by_id(bpe.round_trip(df).select(*columns))
+    assert apart == at_once and {i: bytes(r.decoded).decode() for i, r in at_once.items()} == {None: texts[0]} | {i: t or "" for i, t in enumerate(texts)}
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": [t or "" for t in texts]})
+    whole = pretokens.slices
+    monkeypatch.setattr(pretokens, "slices", lambda column: whole(column, 200))
+    parts = list(bpe._decoded(bpe._encoded([batch], bpe.VOCABULARY), bpe.VOCABULARY))
+    assert len(parts) > 20 and all(p.num_rows == 1 or sum(map(len, p.column("decoded").to_pylist())) <= 200 for p in parts)
+    assert [r for p in parts for r in p.to_pylist()] == [at_once[i].asDict() for i in range(len(texts))]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
