@@ -84,30 +84,49 @@ def zone_map(df: DataFrame, zone: Column, column: str) -> DataFrame:
     return df.groupBy(zone.alias("zone")).agg(F.min(column).alias("low"), F.max(column).alias("high"))
 
 
-_HASHES, _BITS_A_KEY = 7, 10
+#: A key's hashes set one bit each in the words of one block of the filter. A filter of at most so many blocks (64 bytes each) is broadcast.
+_HASHES, _BITS_A_KEY, _BROADCAST_BLOCKS = 7, 10, 1 << 18
+_BLOCK = 64 * _HASHES
 
 
 def bloom_bits(keys: int) -> int:
-    """Bits for so many keys, a whole number of words; 7 hashes and 10 bits a key let about 1 % of absent keys pass."""
-    return 64 * max(1, -(-keys * _BITS_A_KEY // 64))
+    """Bits for so many keys, a whole number of blocks; 7 hashes and 10 bits a key let about 1 % of absent keys pass."""
+    return _BLOCK * max(1, -(-keys * _BITS_A_KEY // _BLOCK))
 
 
-def _bits(column: str, bits: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(_HASHES - 1)), lambda i: F.pmod(F.xxhash64(F.col(column), i), F.lit(bits)))
+def _block(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(bits // _BLOCK))
 
 
-def bloom_filter(df: DataFrame, column: str, bits: int) -> DataFrame:
-    """Words of a bloom filter, ``word, mask``: at most ``bits`` / 64 rows, whatever the input."""
-    bit = df.select(F.explode(_bits(column, bits)).alias("bit"))
-    return bit.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+def _bit(column: str, i: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(64)).cast("int")
 
 
-def may_contain(df: DataFrame, column: str, bloom: DataFrame, bits: int) -> DataFrame:
-    """Adds ``maybe``: false only if the value is certainly not in the filter. The filter is one array of ``bits`` / 64 longs."""
-    full = bloom.sparkSession.range(bits // 64).select(F.col("id").alias("word")).join(bloom, "word", "left").select("word", F.coalesce("mask", F.lit(0)).alias("mask"))
-    packed = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("filter"))
-    hit = F.forall(_bits(column, bits), lambda b: F.call_function("shiftright", F.get("filter", F.floor(b / 64).cast("int")), (b % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return df.crossJoin(F.broadcast(packed)).withColumn("maybe", hit).drop("filter")  # one row of a fixed size
+def bloom_filter(df: DataFrame, column: str, bits: int) -> DataFrame:
+    """Blocks of a bloom filter, ``block`` and its words: at most ``bits`` / 448 rows, whatever the input."""
+    one = F.lit(1).cast("long")
+    return df.groupBy(_block(column, bits).alias("block")).agg(*(F.bit_or(F.call_function("shiftleft", one, _bit(column, i))).alias(f"word{i}") for i in range(_HASHES)))
+
+
+def may_contain(df: DataFrame, column: str, bloom: DataFrame, bits: int, most: int = _BROADCAST_BLOCKS) -> DataFrame:
+    """Adds ``maybe``: false only if the value is certainly not in the filter. Each row meets its one block of the filter: a filter
+    of at most ``most`` blocks comes by broadcast; else blocks of very many rows, at most 1000 by their definition, do, and the others by shuffle."""
+    words = bloom.select(F.col("block").alias("_block"), *(F.col(f"word{i}").alias(f"_word{i}") for i in range(_HASHES)))
+    placed = df.withColumn("_block", _block(column, bits))
+    if bits // _BLOCK <= most:
+        met = placed.join(F.broadcast(words), "_block", "left")
+    else:
+        words = written(words, "bloom")
+        n = written(placed.groupBy("_block").agg(F.count("*").alias("n")), "block-rows")
+        least = max(10_000, (n.agg(F.sum("n")).head()[0] or 0) // 1000)
+        hot = F.broadcast(n.filter(F.col("n") >= least).select("_block"))
+        aside = placed.join(hot, "_block", "left_semi").join(F.broadcast(words.join(hot, "_block", "left_semi")), "_block", "left")
+        met = placed.join(hot, "_block", "left_anti").join(words, "_block", "left").unionByName(aside)
+    hit = F.lit(True)
+    for i in range(_HASHES):
+        word = F.coalesce(f"_word{i}", F.lit(0))  # no key is in a block that isn't there
+        hit = hit & (F.call_function("shiftright", word, _bit(column, i)).bitwiseAND(F.lit(1)) == 1)
+    return met.select(*(F.col(f"`{x}`") for x in df.columns), hit.alias("maybe"))
 
 
 def hashed(value: Column) -> Column:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.functions import codec
+from lamina.functions import codec, index
 from lamina.operators import changelog as cl
 from lamina.operators import compaction, files, mvcc, txn, vlog
 from lamina.operators.engine import Store
@@ -131,3 +131,21 @@ def test_timestamp_order_as_a_fold(spark):
         expected.append((at, aborts))
     df = spark.createDataFrame(ops, "txn long, at long, obj long, writes boolean")
     assert rows(txn.timestamp_order(df).select("at", "aborts")) == expected
+
+
+@pytest.mark.parametrize("most", [1 << 18, 0])  # by broadcast, by shuffle
+def test_bloom_filter_is_met_by_block(spark, most):
+    """A row meets one block and never the whole filter; nulls, repeated and very frequent keys, blocks without keys."""
+    keys = spark.range(30_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    bits = index.bloom_bits(30_000)
+    bloom = index.bloom_filter(keys.unionByName(keys), "k", bits)
+    assert bloom.count() <= bits // 448
+    often = spark.range(12_000).select((F.col("id") % 1 + 7).alias("k"), F.lit(True).alias("member"))
+    both = keys.withColumn("member", F.lit(True)).unionByName(often).unionByName(spark.range(1, 30_001).select((-F.col("id")).alias("k"), F.lit(False).alias("member")))
+    tested = index.may_contain(both, "k", bloom, bits, most)
+    assert "NestedLoop" not in tested._jdf.queryExecution().optimizedPlan().toString() + tested._jdf.queryExecution().sparkPlan().toString()
+    got = {(r.member, r.maybe): r.n for r in tested.groupBy("member", "maybe").agg(F.count("*").alias("n")).collect()}
+    assert tested.columns == ["k", "member", "maybe"] and got.pop((True, True)) == 42_000
+    assert 90 <= got.pop((False, True)) <= 600 and list(got) == [(False, False)]
+    few = index.may_contain(both, "k", index.bloom_filter(keys.filter("k = 5"), "k", bits), bits, most)
+    assert rows(few.filter("maybe and member").select("k").distinct()) == [(5,)]
