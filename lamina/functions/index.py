@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lamina.operators.steps import written
 
@@ -23,16 +27,73 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("term"))
 
 
-def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Weights by term. Frequencies meet the postings by term; terms of very many documents, at most 1000 by their definition, come by broadcast."""
-    terms = docs.select(key, F.explode(F.split(text, " ")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    terms = written(terms, "postings")
-    frequency = written(terms.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+#: Terms whose frequencies are broadcast.
+_HEAD = 200_000
+
+
+def _head(frequency: DataFrame, head: int) -> int:
+    """The least power of two that the frequencies of at most ``head`` terms reach."""
+    bits = dict(frequency.groupBy(F.length(F.bin("df")).alias("bits")).agg(F.count("*").alias("n")).collect())  # 64 rows at most
+    least = max(bits, default=0) + 1
+    while least > 1 and sum(n for b, n in bits.items() if b >= least - 1) <= head:
+        least -= 1
+    return 1 << (least - 1)
+
+
+def _able(docs: DataFrame, key: str, text: str, known: dict[bytes, int], least: int, n: int, top: int, digits: int) -> DataFrame:
+    """``key, term, tf, df`` of the terms that may be among the ``top`` of their row, keys being unique; ``df`` is null if it isn't ``known``."""
+    low, high, slack = math.log(n / max(least - 1, 1)) if n else 0.0, math.log(n) if n else 0.0, 2 * 10.0**-digits  # for rounding
+    terms = docs.sparkSession.sparkContext.broadcast({t: (math.log(n / df), df) for t, df in known.items()})
+
+    def pick(batches):
+        of, rare = terms.value.get, (low, None)
+        for batch in batches:
+            at, out, tfs, dfs = [], [], [], []
+            for i, value in enumerate(batch.column(1)):
+                if (words := value.as_py()) is None:
+                    continue
+                counts = Counter(words.split(b" "))
+                bounds = sorted([tf * of(t, rare)[0] for t, tf in counts.items()])
+                bar = (bounds[-top] if len(bounds) >= top else 0.0) - slack
+                for t, tf in counts.items():
+                    if tf * high >= bar:
+                        weight, df = of(t, rare)
+                        if df is None or tf * weight >= bar:
+                            at.append(i), out.append(t), tfs.append(tf), dfs.append(df)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.binary()), pa.array(tfs, pa.int64()), pa.array(dfs, pa.int64())], names=[key, "term", "tf", "df"])
+
+    kinds = StructType([docs.schema[key], *(StructField(x, k) for x, k in (("term", BinaryType()), ("tf", LongType()), ("df", LongType())))])
+    return docs.select(key, F.col(text).cast("binary")).mapInArrow(pick, kinds).withColumn("term", F.col("term").cast("string"))
+
+
+def tfidf(docs: DataFrame, key: str, text: str, top: int, digits: int, head: int = _HEAD) -> DataFrame:
+    """``key, term, weight``: the ``top`` terms of the largest rounded weight of each key, ties by term.
+
+    The frequencies of the ``head`` most frequent terms, at most, come by broadcast. They bound those of the others, and so
+    weights from both sides: only terms whose upper bound reaches the ``top``-th largest lower bound of their key, none else
+    can be in the result, go on and meet their frequencies by shuffle.
+    """
+    docs = docs.select(key, text)
     n = docs.count()
-    least = max(10_000, terms.count() // 1000)
-    hot = F.broadcast(frequency.filter(F.col("df") >= least))
-    met = terms.join(hot, "term").unionByName(terms.join(hot.select("term"), "term", "left_anti").join(frequency.filter(F.col("df") < least), "term"))
-    return met.select(key, "term", (F.col("tf") * F.log(F.lit(n) / F.col("df"))).alias("weight"))
+    unique = docs.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    terms = postings(docs, key, text) if unique else docs.select(key, F.explode(F.split(text, " ")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    frequency = written(terms.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    least = _head(frequency, head)
+    known, others = frequency.filter(F.col("df") >= least), frequency.filter(F.col("df") < least)
+    weight = lambda df: F.round(F.col("tf") * F.log(F.lit(n) / df), digits)
+    if unique:
+        known = {bytes(t): df for t, df in known.select(F.col("term").cast("binary"), "df").collect()}  # at most ``head``
+        able = _able(docs, key, text, known, least, n, top, digits)
+    else:
+        met = terms.join(F.broadcast(known), "term", "left")
+        of_key = Window.partitionBy(key).orderBy(F.col("low").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        met = met.withColumn("low", weight(F.coalesce("df", F.lit(max(least - 1, 1))))).withColumn("bar", F.nth_value("low", top).over(of_key))
+        able = met.filter(F.col("bar").isNull() | (weight(F.coalesce("df", F.lit(1))) >= F.col("bar"))).select(key, "term", "tf", "df")
+    able = written(able, "able")
+    met = able.filter("df IS NOT NULL").unionByName(able.filter("df IS NULL").drop("df").join(others, "term"))
+    order = Window.partitionBy(key).orderBy(F.col("weight").desc(), "term")
+    ranked = met.select(key, "term", weight(F.col("df")).alias("weight")).withColumn("r", F.row_number().over(order))
+    return ranked.filter(F.col("r") <= top).drop("r")
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:

@@ -59,9 +59,7 @@ w AS (SELECT doc_id, term, round(tf * ln(n / df), 6) AS weight FROM t JOIN f USI
 SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS r FROM w) WHERE r <= 3""",
 )
 def tfidf(spark, d):
-    weights = index.tfidf(table(spark, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
-    order = Window.partitionBy("doc_id").orderBy(c("weight").desc(), "term")
-    return weights.withColumn("r", F.row_number().over(order)).filter("r <= 3").select("doc_id", "term", "weight")
+    return index.tfidf(table(spark, d, "documents"), "doc_id", "text", 3, 6)
 
 
 @register(

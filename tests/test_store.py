@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +151,35 @@ def test_bloom_filter_is_met_by_block(spark, most):
     assert 90 <= got.pop((False, True)) <= 600 and list(got) == [(False, False)]
     few = index.may_contain(both, "k", index.bloom_filter(keys.filter("k = 5"), "k", bits), bits, most)
     assert rows(few.filter("maybe and member").select("k").distinct()) == [(5,)]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+@pytest.mark.parametrize("head", [0, 2, 10, 200_000])
+def test_tfidf_bounds_lose_no_term(spark, repeated, head):
+    """Against counting by hand, whatever the number of terms of known frequency; null and empty texts, a null key, ties, repeated keys."""
+    rng = random.Random(5)
+    data = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.choice([1, 2, 5, 40, 200])))) for i in range(60)]
+    data += [(60, None), (61, ""), (62, " a  a "), (None, "w1 w2 w3 w4 w4")] + ([(0, "w1 new w1"), (61, "w2"), (None, "w4"), (60, None)] if repeated else [])
+    counts, df = {}, Counter()
+    for k, text in data:
+        counts.setdefault(k, Counter()).update([] if text is None else text.split(" "))
+    for x in counts.values():
+        df.update(x.keys())
+    weights = {k: sorted((-round(tf * math.log(len(data) / df[t]), 6), t) for t, tf in x.items())[:3] for k, x in counts.items()}
+    got = index.tfidf(spark.createDataFrame(data, "id long, text string"), "id", "text", 3, 6, head).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(((k, t, -w) for k, x in weights.items() for w, t in x), key=key)
+    assert [tuple(r)[:2] for r in sorted(map(tuple, got), key=key)] == [x[:2] for x in want]
+    assert [r[2] for r in sorted(map(tuple, got), key=key)] == pytest.approx([x[2] for x in want], abs=1.1e-6)
+
+
+def test_tfidf_hands_on_few_terms(spark, monkeypatch):
+    """Of all pairs of text and term only those that may be in the result are written or joined."""
+    from lamina.plans import catalog
+
+    folder, sizes, write = "/root/testdata/sf0.001", {}, index.written
+    monkeypatch.setattr(index, "written", lambda df, what: (out := write(df, what), sizes.update({what: out.count()}))[0])
+    assert catalog.queries()["tfidf"](spark, folder).count() > 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    del sizes["frequency"]  # one row a term
+    assert sizes and 4 * max(sizes.values()) <= index.postings(docs, "doc_id", "text").count()
